@@ -7,13 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from lexloom.session import ship
 
-#: Rows that a map operator hands to Arrow at once.
-OUT_ROWS = 4096
-
-
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return pc.fill_null(column.cast(pa.string()), "").to_pylist()
@@ -32,7 +29,28 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Reco
         yield batch.slice(i, step)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+class Memo:
+    """Remembered values of strings. It starts anew when it holds most of them, which changes no result."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable], most: int):
+        self.learn, self.most = learn, most
+        self.known: dict[str, object] = {}
+
+    def values(self, cut: list[list[str]]) -> list[list]:
+        """The value of each string of each list; unknown ones are learned together."""
+        out = [list(map(self.known.get, units)) for units in cut]
+        lacking = [k for k, parts in enumerate(out) if None in parts]
+        if lacking:
+            new = sorted({u for k in lacking for u, v in zip(cut[k], out[k], strict=True) if v is None})
+            if len(self.known) + len(new) > self.most:
+                self.known = {}
+            self.known.update(zip(new, self.learn(new), strict=True))
+            for k in lacking:
+                out[k] = [self.known[u] if v is None else v for u, v in zip(cut[k], out[k], strict=True)]
+        return out
