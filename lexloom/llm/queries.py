@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import exact_dedup, mixing, near_dedup, pii, quality, secret_scan, sentence_pieces, token_counts, token_store
+from lexloom.llm import exact_dedup, mixing, near_dedup, pii, quality, secret_scan, sentence_pieces, token_counts, token_store, topk
 from lexloom.session import new_path
 
 
@@ -60,6 +60,13 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_decode(_docs(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose doc_id is divisible by 20, as a query against all documents."""
+    docs = _docs(spark, sf_dir)
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return topk.search(topk.build_index(docs), asked, k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_dedup, op4_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_token_store, op9_sentence_pieces, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_dedup, op4_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_token_store, op9_sentence_pieces, op10_topk, pipeline)}
 
 
 _OP4 = r"""
@@ -119,8 +126,25 @@ FROM cut
 """
 
 
+_OP10 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents)::DOUBLE AS mean),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT tf.doc_id, tf.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS w
+      FROM tf JOIN dl ON tf.doc_id = dl.doc_id JOIN df ON tf.term = df.term, st),
+s AS (SELECT q.doc_id AS query_id, w.doc_id, round(sum(w), 6) AS score
+      FROM tf q JOIN w ON q.term = w.term WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, w.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op4_exact_dedup": _OP4, "op5_mixing": _OP5, **whole}
+    return {"op4_exact_dedup": _OP4, "op5_mixing": _OP5, "op10_topk": _OP10, **whole}
