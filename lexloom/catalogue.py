@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import retrieval
+from lexloom.plans import retrieval, store
 
-MODULES = [retrieval]
+MODULES = [retrieval, store]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
