@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import retrieval, store
+from lexloom.plans import retrieval, store, text
 
-MODULES = [retrieval, store]
+MODULES = [retrieval, store, text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
