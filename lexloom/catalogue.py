@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import retrieval, store, text
+from lexloom.plans import evaluation, retrieval, store, text
 
-MODULES = [retrieval, store, text]
+MODULES = [retrieval, store, text, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
