@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 REPORTED = r"\d+ T\.C\. No\. \d+"
 MEMO = r"T\.C\. Memo\. \d{4}-\d+"
 OPINION = rf"{REPORTED}|{MEMO}"
+NESTED = r"\[([^\[\]]*?),?\s*\[([^\[\]]+)\]\]"
+PART = r"^[ \t]*(?:#+[ \t]*)?\**[ \t]*Part[ \t]+(\d+)[ \t]*[:.\-–—][ \t]*(.*?)[ \t]*\**[ \t]*$"
 EXPIRES = r"applicability of (this section|paragraphs?\b.*?) expires (?:on )?(?:or before )?([A-Z][a-z]+ \d{1,2}, \d{4})"
 ISSUED = r"\b([A-Z][a-z]{2,8})\.? (\d{1,2}), (\d{4})"
 SUNSET_FROM = "1988-11-20"
@@ -138,9 +140,9 @@ def section_of(citation: Column) -> Column:
 
 def bracketed(text: Column) -> Column:
     """Citations in brackets, once each in order; nested brackets are flattened and semicolons part them."""
-    flat = F.regexp_replace(text, r"\[([^\[\]]*)\[([^\[\]]+)\]\]", "[$1], [$2]")
+    flat = F.regexp_replace(text, NESTED, "[$1], [$2]")
     inner = F.regexp_extract_all(flat, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
-    parts = F.flatten(F.transform(inner, lambda b: F.transform(F.split(b, ";"), F.trim)))
+    parts = F.flatten(F.transform(inner, lambda b: F.transform(F.split(b, ";"), lambda c: F.trim(c))))
     return F.array_distinct(F.filter(parts, lambda c: c != ""))
 
 
