@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import answers, evaluation, retrieval, store, text
+from lexloom.plans import answers, evaluation, events, retrieval, store, text
 
-MODULES = [retrieval, store, text, evaluation, answers]
+MODULES = [retrieval, store, text, evaluation, answers, events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
