@@ -28,7 +28,7 @@ def event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.until_terminal(E.replay(E.record(rows))).select("job_id", "seq", "event", "at")
 
 
-_SEQ = "e AS (SELECT user_id % 500 AS job_id, event_id, CASE event_type WHEN 'purchase' THEN 'done' ELSE event_type END AS event, ts AS "at", row_number() OVER (PARTITION BY user_id % 500 ORDER BY event_id) AS seq FROM events)"
+_SEQ = """e AS (SELECT user_id % 500 AS job_id, event_id, CASE event_type WHEN 'purchase' THEN 'done' ELSE event_type END AS event, ts AS "at", row_number() OVER (PARTITION BY user_id % 500 ORDER BY event_id) AS seq FROM events)"""
 
 
 def event_replay_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "event_seq": (event_seq, f"WITH {_SEQ} SELECT job_id, event_id, seq FROM e"),
-    "event_replay": (event_replay, f"WITH {_SEQ}, t AS (SELECT *, min(CASE WHEN event IN ('done', 'error') THEN seq END) OVER (PARTITION BY job_id) AS stop FROM e) SELECT job_id, seq, event, "at" FROM t WHERE stop IS NULL OR seq <= stop"),
+    "event_replay": (event_replay, f"""WITH {_SEQ}, t AS (SELECT *, min(CASE WHEN event IN ('done', 'error') THEN seq END) OVER (PARTITION BY job_id) AS stop FROM e) SELECT job_id, seq, event, "at" FROM t WHERE stop IS NULL OR seq <= stop"""),
     "event_replay_dedupe": (event_replay_dedupe, f"WITH {_SEQ} SELECT job_id, seq, event FROM e LEFT JOIN (SELECT c_custkey AS job, c_custkey % 9 AS seen FROM customer WHERE c_custkey < 400) ON job = job_id WHERE seq > coalesce(seen, 0)"),
     "daily_quota": (daily_quota, _QUOTA),
     "quota_today": (quota_today, "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' AND user_id % 8 = 3"),
