@@ -5,10 +5,14 @@ place by k around the circle, and the second permutes it again; the least value
 k. Coordinates are banded (a pair at 0.8 shares no band with probability 5e-6), and every link is confirmed on the full
 shingle sets. Sets are of 64-bit shingle hashes.
 
-Equal sets are one class before anything is paired. In each bucket, first all members are held against one member only;
-what these links join needs no further pairs, and only members of a bucket that are still in different components are
-held against each other after that. So the work follows the number of classes, not the square of a group's size, and no
-link between different components is lost. Components are found by contraction, each round a join of written tables.
+Equal sets are one class before anything is paired. Each member of a bucket is first held against the least member of
+the bucket that it meets most often; what these links join needs no further pairs. Documents in buckets that still hold
+several components are then paired exactly: two sets at the threshold share one of their rarest shingles (prefix
+filtering, rarest by a count sketch; any order is correct), so each document lists its few rarest, and only documents of
+different components that list the same one, at places that leave enough after it, are compared. Passages that thousands of documents share are not rare and
+pair nothing, and of the largest component under a shingle members are not compared with each other. No link between
+different components of bucketed documents is lost. Components are found by contraction, each round a join of written
+tables.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have none and are linked
 with nothing; a null doc_id is linked with nothing and its component is null; rows that repeat a doc_id are one node; an
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +34,8 @@ from lexloom.llm.common import map_arrow, raw, slices
 from lexloom.session import materialise
 
 BANDS, ROWS = 40, 6
-#: Shingles that get their coordinates at once.
-CHUNK = 2048
+#: Shingles that get their coordinates at once, counters of the sketch of shingle frequencies, rows in which a task hands them on.
+CHUNK, COUNTERS, CHUNKS = 2048, 1 << 22, 64
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -158,11 +163,75 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each of COUNTERS hash classes. Tasks sum counters, CHUNKS rows each; the driver gets 4 * COUNTERS bytes."""
+    part = COUNTERS // CHUNKS
+
+    def rows(total: np.ndarray, numbers) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1)
+        held = [(k, pack.compress(total[k].tobytes())) for k in numbers]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=["chunk", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(COUNTERS, np.uint32), False
+        for whole in batches:
+            for b in slices(whole):
+                held = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64) % np.uint64(COUNTERS)
+                total += np.bincount(held.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                seen = True
+        if seen:
+            yield rows(total.reshape(CHUNKS, part), range(CHUNKS))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, total = zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(unpack.decompress(x), np.uint32)
+        yield rows(total, sorted(total))
+
+    out, unpack = np.zeros((CHUNKS, part), np.uint32), zstandard.ZstdDecompressor()
+    for r in map_arrow(map_arrow(sets.select("held"), count, "chunk int, counts binary").repartition("chunk"), add, "chunk int, counts binary").collect():
+        out[r["chunk"]] = np.frombuffer(unpack.decompress(bytes(r["counts"])), np.uint32)
+    return out.reshape(-1)
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """token, id, comp, size, pos for the shingles of sets(id, comp, held) of which two sets at the threshold share one, rarest first."""
+    often = sets.sparkSession.sparkContext.broadcast(_sketch(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                tokens, ids, comps, sizes, places = [], [], [], [], []
+                for i, comp, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                    held = np.frombuffer(x, np.uint64)
+                    n = len(held) + percent * len(held) // -100 + 1
+                    order = np.lexsort((held, often.value[(held % np.uint64(COUNTERS)).astype(np.int64)]))[:n]
+                    tokens.append(held[order].view(np.int64))
+                    ids += [i] * n
+                    comps += [comp] * n
+                    sizes += [len(held)] * n
+                    places += range(n)
+                columns = (np.concatenate(tokens) if tokens else [], ids, comps, sizes, places)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "id", "comp", "size", "pos"])
+
+    return materialise(map_arrow(sets.select("id", "comp", "held"), run, "token long, id long, comp long, size long, pos long"), "rarest")
+
+
+def _cross_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under one token that can reach the threshold.
+
+    Of what two sets share, the rarest stands at these places of both, so no more can be common than what follows there.
+    """
+    by = rare.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    by = by.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    tokens = by.select("token", F.col("top.comp").alias("main"))
+    held = materialise(rare.join(tokens, "token"), "open")
+    few = held.where("comp <> main").select("token", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("size").alias("size_x"), F.col("pos").alias("pos_x"))
+    follow = F.least(F.col("size") - F.col("pos"), F.col("size_x") - F.col("pos_x"))
+    can = (F.col("comp") != F.col("comp_x")) & ((F.col("comp") == F.col("main")) | (F.col("id") < F.col("x"))) & ((100 + percent) * follow >= percent * (F.col("size") + F.col("size_x")))
+    both = held.join(few, "token").where(can)
+    return both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -186,18 +255,16 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     best = stars.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("best")).select(F.negative("best.a").alias("a"), "b")
     links = _confirmed(best, sets, percent)
     labels = components(links)
-    more = _confirmed(_apart(stars, labels), sets, percent)
-    links = links.unionByName(more)
-    labels = components(links)
 
-    # what is left: members of one bucket in different components, other than those held against the least one already
-    named = members.join(labels.select(F.col("id").alias("b"), "comp"), "b", "left").select("key", "a", "b", F.coalesce("comp", "b").alias("comp"))
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = materialise(named.join(open_keys, "key", "left_semi").where("a <> b").select("key", "b", "comp"), "left")
-    other = left.select("key", F.col("b").alias("a"), F.col("comp").alias("comp_a"))
-    rest = left.join(other, "key").where("comp <> comp_a and a < b").select("a", "b").distinct()
-    links = links.unionByName(_confirmed(rest, sets, percent))
-    labels = components(links)
+    # what is left: documents in buckets of several components
+    named = members.join(labels.select(F.col("id").alias("b"), "comp"), "b", "left").select("key", "b", F.coalesce("comp", "b").alias("comp"))
+    spread = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    left = named.join(spread, "key", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("comp"))
+    left = materialise(sets.join(left, "id").select("id", "comp", "held"), "left")
+    pairs = materialise(_cross_pairs(_rarest(left, percent), percent), "pairs")
+    more = _confirmed(pairs, sets, percent)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     named = classes.join(labels, classes.rep == labels.id, "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     found = known.join(named, "set_key").groupBy("doc_id").agg(F.min("comp").alias("comp"))
