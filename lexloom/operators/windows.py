@@ -75,11 +75,11 @@ def packed(blocks: DataFrame, group: str, order: str, limit: int, tokens: Callab
     Result: group, pack, first, last (order values). tokens turns a count of words into tokens.
     """
     ship(blocks.sparkSession)
-    sized = blocks.select(group, order, word_count(F.col("text")).alias("n"))
+    sized = blocks.select(group, order, word_count(F.col("text")).alias("_words"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        at, n, out, start = pdf[order].tolist(), pdf["n"].tolist(), [], 0
+        at, n, out, start = pdf[order].tolist(), pdf["_words"].tolist(), [], 0
         while start < len(n):
             end, total = start + 1, n[start]
             while end < len(n) and tokens(total + n[end]) <= limit:
