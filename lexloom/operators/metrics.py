@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import materialise
+
 
 def first_hits(items: DataFrame, gold: DataFrame) -> DataFrame:
     """question, grp, rank: the first rank (from 0) at which a gold group is met, null if never.
@@ -140,9 +142,13 @@ def within_limit(rates: DataFrame, rate: str, limit: float | None) -> DataFrame:
 
 
 def spend(calls: DataFrame, order: str, cost: str, cap: float) -> DataFrame:
-    """Calls in order while their running cost is within a cap."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("spent", F.round(F.sum(cost).over(w), 8)).where(F.col("spent") <= cap)
+    """Calls in order while their running cost is within a cap. Ranges of the order are summed first, so no task holds all calls."""
+    ranged = materialise(calls.repartitionByRange(order).withColumn("_r", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("_r").agg(F.sum(cost).alias("_s"))
+    before = before.select("_r", (F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).alias("_b"))
+    w = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(before, "_r").withColumn("spent", F.round(F.sum(cost).over(w) + F.col("_b"), 8))
+    return out.where(F.col("spent") <= cap).drop("_r", "_b")
 
 
 def choose(arms: DataFrame, base: str, worst: float = -0.02) -> DataFrame:
