@@ -62,13 +62,13 @@ def bm25_topk(df: DataFrame, terms: list[str], k: int = PREFETCH, key: str = "ke
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
     held = df.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), *[count(w).alias(f"tf{i}") for i, w in enumerate(terms)])
     total = held.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hits = held.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0)
-    joined = hits.join(F.broadcast(total))  # one row of sums
+    joined = held.join(F.broadcast(total))  # one row of sums
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, n, d = F.col(f"tf{i}"), F.col("n"), F.col(f"df{i}")
         score = score + F.log(1 + (n - d + 0.5) / (d + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return ranked(joined.select(key, F.round(score, 9).alias("score")), k, key)
+    # rows without a term are dropped by their score: a filter on the counts would move to the scan and count again there
+    return ranked(joined.select(key, F.round(score, 9).alias("score")).where("score > 0"), k, key)
 
 
 def ranked(df: DataFrame, k: int, key: str = "key") -> DataFrame:
