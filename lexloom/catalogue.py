@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import answers, claims, evaluation, events, retrieval, store, text
+from lexloom.plans import answers, claims, evaluation, events, retrieval, routing, store, text
 
-MODULES = [retrieval, store, text, evaluation, answers, claims, events]
+MODULES = [retrieval, routing, store, text, evaluation, answers, claims, events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
