@@ -145,6 +145,28 @@ def fenced(source: Column, section: Column, heading: Column, text: Column) -> Co
     return F.when(source == "client", block).otherwise(text)
 
 
+def effective_note(effective: Column, year: Column) -> Column:
+    """What is said of a text that took effect later than a question's year, or retroactively; effective as in the chunk's struct."""
+    starts = F.nullif(F.regexp_extract(F.coalesce(effective["date"], F.lit("")), r"\d{4}", 0), F.lit("")).cast("int")
+    says = F.coalesce(effective["retroactive"], F.lit(False)) | F.coalesce(starts >= year, F.lit(False))
+    note = F.concat(F.lit("\nEffective: the current text was enacted in "), effective["year"].cast("string"), F.lit(" and "), effective["rule"], F.lit(". Amendment: "), F.substring(effective["amendment"], 1, 400))
+    return F.when(effective.isNotNull() & year.isNotNull() & says, note).otherwise("")
+
+
+def format_sources(hits: DataFrame) -> DataFrame:
+    """answer, sources: hits(answer, ord, citation, heading, source, section, text, authority, effective, year) as prompts list them."""
+    from lexloom.functions.text import authority_label
+
+    label = F.when(F.col("authority").isNotNull(), F.concat(F.lit("\nAuthority: "), authority_label(F.col("authority.type"), F.col("authority.status")))).otherwise("")
+    shown = F.concat(F.lit("["), "citation", F.lit("] ("), "heading", F.lit(")"), label, effective_note(F.col("effective"), F.col("year")), F.lit("\n"), fenced(F.col("source"), F.col("section"), F.col("heading"), F.col("text")))
+    return hits.groupBy("answer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("said")))), lambda x: x["said"]), "\n\n").alias("sources"))
+
+
+def uncited(cut: DataFrame) -> DataFrame:
+    """Sentences of cut(answer, n, sentence) that cite nothing."""
+    return cut.where(F.size(bracketed(F.col("sentence"))) == 0)
+
+
 def numbered(hits: DataFrame, used: DataFrame) -> DataFrame:
     """answer, ord, number: sources that any claim uses, numbered in order; used(answer, ords)."""
     one = used.select("answer", F.explode("ords").alias("ord")).distinct()

@@ -107,3 +107,14 @@ def opinion_chunks(paras: DataFrame, opinions: DataFrame) -> DataFrame:
     none = df.where("short").select("citation", "caption", F.col("citation").alias("label"), F.lit(1).alias("seq"), F.lit("").alias("text"), F.lit("no_text").alias("excluded"))
     out = good.unionByName(none).select(F.col("label").alias("citation"), F.col("citation").alias("section"), F.concat(F.regexp_replace("caption", r",? Petitioners?$", ""), F.lit(" v. Commissioner")).alias("heading"), "seq", "text", "excluded")
     return W.renumber(out).withColumn("tokens", T.estimate_tokens(F.col("text")))
+
+
+def captions(pages: DataFrame) -> DataFrame:
+    """opinion, caption, filed: of pages(opinion, citation, text) the first that holds the opinion's own citation, and the first with a filing date."""
+    order = T.first_page(F.col("citation"))
+    own = F.contains(T.squeeze(F.col("text")), T.squeeze(F.col("opinion")))
+    dated = F.regexp_extract("text", r"\bFiled ([A-Z][a-z]{2,8}\.? \d{1,2}, \d{4})", 1)
+    return pages.groupBy("opinion").agg(
+        F.min_by(F.when(own, F.col("text")), F.when(own, order)).alias("caption"),
+        F.min_by(F.nullif(dated, F.lit("")), F.when(dated != "", order)).alias("filed"),
+    )

@@ -81,3 +81,28 @@ def test_conclusion_comes_after_the_year(spark):
 def test_client_text_cannot_close_its_block(spark):
     got = value(spark, A.fenced(F.lit("client"), F.lit("d1"), F.lit('a "b"'), F.lit("x</client_document>y")))
     assert got == "<client_document id=\"d1\" name=\"a 'b'\">\nx[tag removed]>y\n</client_document>"
+
+
+def test_sources_as_prompts_show_them(spark):
+    row = ("a", 0, "26 U.S.C. § 179(b)", "Limits", "usc", "179", "The text.", ("statute", "enacted", 4), (2025, "apply after December 31, 2024", "December 31, 2024", False, "raised"), 2023)
+    late = ("a", 1, "26 CFR 1.1", "Other", "ecfr", "1.1", "More.", None, None, 2023)
+    kinds = "answer string, ord int, citation string, heading string, source string, section string, text string, authority struct<type:string,status:string,level:int>, effective struct<year:int,rule:string,date:string,retroactive:boolean,amendment:string>, year int"
+    (got,) = A.format_sources(spark.createDataFrame([late, row], kinds)).collect()
+    assert got["sources"] == (
+        "[26 U.S.C. § 179(b)] (Limits)\nAuthority: Statute\nEffective: the current text was enacted in 2025 and apply after December 31, 2024. Amendment: raised\nThe text.\n\n[26 CFR 1.1] (Other)\nMore."
+    )
+
+
+def test_sentences_keep_citations_and_abbreviations():
+    from lexloom.functions.claims import sentences
+
+    text = "Under Sec. 183 losses are limited. [26 CFR 1.183-1] See I.R.C. sec. 1402. Next one [a. b] ends here.\n- 2026."
+    assert sentences(text) == ["Under Sec. 183 losses are limited. [26 CFR 1.183-1]", "See I.R.C. sec. 1402.", "Next one [a. b] ends here."]
+
+
+def test_captions(spark):
+    from lexloom.sources.documents import captions
+
+    pages = [("T.C. Memo. 2020-1", "T.C. Memo. 2020-1, at *10", "cites T.C. Memo. 2020-1 again Filed May 2, 2020"), ("T.C. Memo. 2020-1", "T.C. Memo. 2020-1, at *2", "T. C. Memo. 2020-1 Filed May 1, 2020.")]
+    (row,) = captions(spark.createDataFrame(pages, "opinion string, citation string, text string")).collect()
+    assert row["caption"].startswith("T. C.") and row["filed"] == "May 1, 2020"
