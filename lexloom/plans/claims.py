@@ -13,6 +13,7 @@ from lexloom.operators import retrieval as R
 from lexloom.plans.answers import _hits, _sentences
 from lexloom.plans.evaluation import _JUDGED, _judged
 from lexloom.plans.answers import _HITS, _SENTENCES
+from lexloom.plans.retrieval import _CORPUS, _TERMS, _sparse
 from lexloom.plans.tables import table
 from lexloom.session import new_path, ship
 
@@ -178,6 +179,10 @@ QUERIES = {
         """WITH s AS (SELECT doc_id, doc_id // 6 AS g, doc_id % 3 = 0 AS t, doc_id % 2 = 0 AS e FROM documents), w AS (SELECT g FROM s WHERE t GROUP BY g HAVING bool_or(e))
         SELECT count(*) AS rows, count(*) AS updated, count(*) FILTER (WHERE t AND g IN (SELECT g FROM w)) AS expired, count(*) FILTER (WHERE NOT (t AND g IN (SELECT g FROM w))) AS points FROM s""",
     ),
-    "rerank_provider": (rerank_provider, None),
+    "rerank_provider": (
+        rerank_provider,
+        f"""WITH {_CORPUS}, {_sparse(k=25)}, t AS (SELECT corpus.key, round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), [{_TERMS}])) / 5::DOUBLE, 9) AS score FROM sparse JOIN corpus ON sparse.key = corpus.key)
+        SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS rank FROM t ORDER BY score DESC, key LIMIT 10""",
+    ),
     "snapshot_roundtrip": (snapshot_roundtrip, "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'embeddings', count(*) FROM embeddings"),
 }
