@@ -419,10 +419,10 @@ def test_pruned_shards_give_the_exact_best(monkeypatch):
     for q in rng.sample(range(n), 40):
         wanted = np.array(list(counts[q]), np.uint64)
         idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in wanted.tolist()])
-        best = []
+        held = [[]]
         for s in shards:
-            best = s.search(wanted, idf, 10, best)
-        want = []
+            s.search([(wanted, idf)], 10, held)
+        (best,), want = held, []
         for i, c in counts.items():
             score = sum(x * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for t, x in zip(wanted.tolist(), idf, strict=True) if t in c)
             if score > 0:
