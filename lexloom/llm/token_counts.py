@@ -192,12 +192,13 @@ class PrefixCounter:
 
     def all_unit_counts(self, texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         cut = [self._units(t) if t else [] for t in texts]
-        found = self.memo.values([units[1:] if units else [] for units in cut])
-        for text, units, rest in zip(texts, cut, found, strict=True):
+        distinct = list(dict.fromkeys(u for units in cut if units for u in units[1:]))
+        known = dict(zip(distinct, self.memo.values(distinct), strict=True))
+        for text, units in zip(texts, cut, strict=True):
             if units is None:
                 yield self._whole(text)
             else:
-                yield units, [sum(self._count(p.encode()) for p in self._cut(units[0])), *rest] if units else []
+                yield units, [sum(self._count(p.encode()) for p in self._cut(units[0])), *map(known.__getitem__, units[1:])] if units else []
 
     def _whole(self, text: str) -> tuple[list[str], list[int]]:
         units, counts = [], []
