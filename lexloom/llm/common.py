@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -11,6 +12,15 @@ from pyspark.sql.types import StructType
 
 from lexloom.session import ship
 
+#: Bytes of text whose units are looked up together.
+SLICE = 24 << 20
+
+
+def filled(column: pa.Array) -> pa.Array:
+    """Texts of an Arrow column as they are, null as empty."""
+    return pc.fill_null(column.cast(pa.string()), "")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return pc.fill_null(column.cast(pa.string()), "").to_pylist()
@@ -35,6 +45,14 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(fn, schema)
 
 
+def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units between single spaces in many texts, every unit as a number of these, and where each text's units end."""
+    lists = pc.split_pattern(texts, " ")
+    flat = lists.flatten().dictionary_encode()
+    ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+    return flat.dictionary, flat.indices.to_numpy(), ends
+
+
 class Memo:
     """Remembered values of strings. It starts anew when it holds most of them, which changes no result."""
 
@@ -42,15 +60,27 @@ class Memo:
         self.learn, self.most = learn, most
         self.known: dict[str, object] = {}
 
-    def values(self, cut: list[list[str]]) -> list[list]:
-        """The value of each string of each list; unknown ones are learned together."""
-        out = [list(map(self.known.get, units)) for units in cut]
-        lacking = [k for k, parts in enumerate(out) if None in parts]
-        if lacking:
-            new = sorted({u for k in lacking for u, v in zip(cut[k], out[k], strict=True) if v is None})
+    def values(self, units: list[str]) -> list:
+        """The value of each of several distinct strings; unknown ones are learned together."""
+        out = list(map(self.known.get, units))
+        if None in out:
+            new = [u for u, v in zip(units, out, strict=True) if v is None]
             if len(self.known) + len(new) > self.most:
                 self.known = {}
-            self.known.update(zip(new, self.learn(new), strict=True))
-            for k in lacking:
-                out[k] = [self.known[u] if v is None else v for u, v in zip(cut[k], out[k], strict=True)]
+            found = list(self.learn(new))
+            self.known.update(zip(new, found, strict=True))
+            rest = iter(found)
+            out = [next(rest) if v is None else v for v in out]
         return out
+
+
+def gathered(parts: list[bytes], codes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The items of parts[codes[0]], parts[codes[1]], ... one after the other, and how many each gave."""
+    width = np.dtype(kind).itemsize
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+    held = np.frombuffer(b"".join(parts), kind)
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    return held[at], n

@@ -11,25 +11,25 @@ of their own, in the order of their ids; an empty table gives an empty store; fu
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Memo, map_arrow, slices, strings
+from lexloom.llm.common import SLICE, Memo, cut_units, filled, gathered, map_arrow, slices
 from lexloom.session import new_path
 
 #: Bits of the frequency table's sum, least state, ids of a block before it closes, rows of lanes between checkpoints.
-BITS, LEAST, BLOCK_IDS, CHECK_ROWS = 20, 1 << 31, 1 << 20, 256
-MOST_LANES = 1024
-REMEMBERED = 400_000
+BITS, LEAST, BLOCK_IDS, CHECK_ROWS = 20, 1 << 31, 1 << 20, 128
+MOST_LANES = 2048
+REMEMBERED = 1_200_000
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -140,50 +140,56 @@ class UnitIds:
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self.memo = Memo(self._learn, REMEMBERED)
-        self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Ids of words of lower-case letters alone: each is one piece, so its ids end at the first that ends a word."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words = {}
-        (ids,) = self._encode([" ".join(words)])
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(words):
-            at = 4 * np.concatenate([[0], ends])
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """Ids of keys. Words of lower-case letters alone are each one piece, so their ids end at the first that ends a word."""
+        words = [k for k in keys if k[:1] != WHOLE]
+        found: list[bytes] = []
+        if words:
+            (ids,) = self._encode([" ".join(words)])
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             held = ids.tobytes()
-            found = [held[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        else:
-            found = [x.tobytes() for x in self._encode(words)]
-        self.words.update(zip(words, found, strict=True))
-
-    def _learn(self, units: list[str]) -> list[bytes]:
-        plain: list[tuple[str, str] | None] = []
-        for u in units:
-            word = u.rstrip(".,!;:?")
-            low = word.lower()
-            plain.append((low, u[len(word) :]) if low.isalpha() and word.isalpha() and _simple(word) else None)
-        if new := {x[0] for x in plain if x and x[0] not in self.words}:
-            self._learn_words(sorted(new))
-            if missing := {x[0] for x in plain if x and x[0] not in self.words}:
-                self._learn_words(sorted(missing | new))
-        tails = sorted({x[1] for x in plain if x and x[1]})
-        tail = {"": b""} | dict(zip(tails, (x.tobytes() for x in self._encode(tails)), strict=True)) if tails else {"": b""}
-        rest = [u for u, x in zip(units, plain, strict=True) if not x]
-        whole = iter(self._encode(rest) if rest else ())
-        return [self.words[x[0]] + tail[x[1]] if x else next(whole).tobytes() for x in plain]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
+            if len(ends) == len(words):
+                found = [held[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                found = [x.tobytes() for x in self._encode(words)]
+        whole = [k[1:] for k in keys if k[:1] == WHOLE]
+        known, rest = iter(found), iter(self._encode(whole) if whole else ())
+        return [next(rest).tobytes() if k[:1] == WHOLE else next(known) for k in keys]
+
+    def _keys(self, units: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """For each unit what is looked up and the marks that follow it: a word in lower case, or the unit whole."""
+        cut = pc.extract_regex(units, r"(?s)^(?P<word>.*?)(?P<tail>[!-/:-@\[-`{-~]*)$")
+        word = pc.struct_field(cut, "word")
+        low = pc.utf8_lower(word)
+        plain = pc.utf8_is_alpha(word)
+        held = units.buffers()[2]
+        if held is not None and np.frombuffer(held, np.uint8).max(initial=0) >= LATIN_1:
+            plain = pc.and_(pc.and_(plain, pc.utf8_is_alpha(low)), pc.match_substring_regex(word, SIMPLE))
+        whole = pc.binary_join_element_wise(WHOLE, units, "")
+        return pc.if_else(plain, low, whole), pc.if_else(plain, pc.struct_field(cut, "tail"), "")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids end."""
         if not self.apart:
-            return [x.tobytes() for x in self._encode(texts)]
-        return [b"".join(parts) for parts in self.memo.values([t.replace("\n", " ").split(" ") for t in texts])]
-
-
-#: Letters that are lower-cased alone and stay as they are under NFC.
-_simple = re.compile("[\x00-\u024f]*\\Z").match
+            found = self._encode(texts.to_pylist())
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([len(x) for x in found])
+        units, codes, ends = cut_units(pc.replace_substring(texts, "\n", " "))
+        keys, tails = (x.dictionary_encode() for x in self._keys(units))
+        marks = [x.tobytes() if t else b"" for t, x in zip(tails.dictionary.to_pylist(), self._encode(tails.dictionary.to_pylist()), strict=True)]
+        words = self.memo.values(keys.dictionary.to_pylist())
+        both = np.stack([keys.indices.to_numpy()[codes], tails.indices.to_numpy()[codes] + len(words)], axis=1).reshape(-1)
+        ids, sizes = gathered(words + marks, both, "<u4")
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[2 * ends]
+
+
+#: Letters that are lower-cased alone and stay as they are under NFC; what marks a unit that is looked up whole.
+SIMPLE, WHOLE = r"^[\x{00}-\x{12f}\x{131}-\x{24f}]*$", "\0"
+#: Text without bytes from here on has such letters alone.
+LATIN_1 = 0xC4
 #: The word pattern of tokenizers that this module may cut at spaces.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -197,10 +203,14 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
     """doc_id and its ids with the end id, each row's packed by zstandard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pack, stop = UnitIds(path), zstandard.ZstdCompressor(level=1), struct.pack("<I", end)
+        coder, pack = UnitIds(path), zstandard.ZstdCompressor(level=1)
+        kind = "<u2" if coder.library.get_vocab_size() <= 65536 else "<u4"
+        stop = np.array([end], kind).tobytes()
         for whole in batches:
-            for b in slices(whole):
-                held = [pack.compress(np.frombuffer(x + stop, "<u4").astype("<u2" if coder.library.get_vocab_size() <= 65536 else "<u4").tobytes()) for x in coder.encode(strings(b.column(1)))]
+            for b in slices(whole, SLICE):
+                ids, ends = coder.encode(filled(b.column(1)))
+                ids, starts = ids.astype(kind), [0, *ends[:-1].tolist()]
+                held = [pack.compress(ids[s:e].tobytes() + stop) for s, e in zip(starts, ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], schema=_IDS)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary")
@@ -211,11 +221,10 @@ def _frequencies(ids: DataFrame, size: int, wide: bool) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(unpack.decompress(x), "<u4" if wide else "<u2"), minlength=size) if len(x) > 4096 else 0
-                if len(x) <= 4096:
-                    np.add.at(total, np.frombuffer(unpack.decompress(x), "<u4" if wide else "<u2"), 1)
+        for whole in batches:
+            for b in slices(whole):
+                held = b"".join(map(unpack.decompress, b.column(0).to_pylist()))
+                total += np.bincount(np.frombuffer(held, "<u4" if wide else "<u2"), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
