@@ -117,5 +117,6 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: str, prior:
 
 def text_windows(df: DataFrame, size: int, overlap: float) -> DataFrame:
     """One row for each window of words of df(doc_id, text): doc_id, window, n_words, first_word."""
-    cut = df.select("doc_id", F.posexplode(word_windows(words(F.col("text")), size, overlap)).alias("window", "w"))
+    held = df.select("doc_id", words(F.col("text")).alias("held"))  # cut into words once, not once for each window
+    cut = held.select("doc_id", F.posexplode(word_windows(F.col("held"), size, overlap)).alias("window", "w"))
     return cut.select("doc_id", "window", F.size("w").alias("n_words"), F.get("w", F.lit(0)).alias("first_word"))

@@ -203,7 +203,8 @@ def max_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.operators.windows import sliding_windows
 
     claim = F.array(*[F.lit(w) for w in ("the", "and", "of", "de", "la", "der", "que")])
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.explode(sliding_windows(T.words(F.lower("text")))).alias("w"))
+    words = table(spark, sf_dir, "documents").select("doc_id", T.words(F.lower("text")).alias("held"))
+    cut = words.select("doc_id", F.explode(sliding_windows(F.col("held"))).alias("w"))
     held = F.split("w", " ")
     share = F.round(F.size(F.filter(held, lambda x: F.array_contains(claim, x))) / F.size(held), 6)
     return cut.select("doc_id", share.alias("s")).groupBy("doc_id").agg(F.max("s").alias("score"))

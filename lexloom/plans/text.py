@@ -182,7 +182,8 @@ SELECT doc_id, "window", len(x) AS n_words, x[1] AS first_word FROM c"""
 
 
 def sliding_windows_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(W.sliding_windows(T.words(F.col("text")))).alias("window", "w"))
+    held = _docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("held"))
+    cut = held.select("doc_id", F.posexplode(W.sliding_windows(F.col("held"))).alias("window", "w"))
     return cut.select("doc_id", "window", F.md5(F.col("w").cast("binary")).alias("digest"))
 
 
