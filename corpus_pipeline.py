@@ -5,7 +5,7 @@
 3. near: of near-duplicates (five-word shingles, similarity 0.8) the one with the least doc_id stays.
 4. mix: sources get temperature weights; a document appears as often as its source is passed over. The budget is the least
    at which no document is lost, and no source is repeated more than REPEATS times.
-5. pieces: every text is encoded and decoded; rows get their tokens, digests and span bytes.
+5. pieces: every text is encoded and decoded; rows get their tokens, digests and span bytes, and the pieces with their spans.
 
 The last stage adds columns, the others return the columns of documents. Rows with a null doc_id pass through the stages
 that decide by doc_id.
@@ -53,7 +53,7 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentence_pieces.with_digests(docs, tokenizer("piece_bpe_32k.model"))
+    return sentence_pieces.with_pieces(docs, tokenizer("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
