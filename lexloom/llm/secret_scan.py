@@ -2,8 +2,10 @@
 
 A candidate is a long run of token characters that follows a sensitive word closely. What it costs is the bytes by which
 it lengthens the compressed form of its surroundings, where the compressor starts from a dictionary of common
-identifiers. Text, identifiers and repeated values cost few bytes a character; keys cost almost all of theirs, and are
-reported as kind novel.
+identifiers. Short surroundings of a candidate without both letters and digits, which may be a word, are filled up with
+prose, so that it costs what it costs in a text. Text, identifiers and repeated values cost few bytes a character; keys cost
+at least what their own alphabet demands, and are reported as kind novel. A long key costs less than a fixed share can ask
+for, so the lesser of share and demand counts.
 
 Edge cases: null and empty texts have no spans and the digest of the empty string; repeated rows repeat their result;
 offsets are code points, ends exclusive; further columns are ignored.
@@ -12,6 +14,7 @@ offsets are code points, ends exclusive; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,14 +27,16 @@ from lexloom.llm.common import map_arrow, slices, strings
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE = 3
-#: Characters of surroundings on each side, characters between sensitive word and candidate, least candidate, and the share of its bytes that it must cost.
+#: Characters of surroundings on each side, characters between sensitive word and candidate, least candidate, and the share of its bytes that a short one must cost.
 AROUND, REACH, LEAST, COSTS = 256, 40, 16, 0.8
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")
 _sensitive = re.compile(r"key|secret|token|passw|bearer|credential|private|signature", re.IGNORECASE | re.ASCII)
-_candidate = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
+_candidate = re.compile(rf"[A-Za-z0-9+/_.-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?")
+#: Alphabets of keys, the smallest first.
+_alphabets = [(re.compile(p), n) for p, n in (("[0-9]+", 10), ("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[A-Z2-7]+=*|[a-z2-7]+=*", 32), ("[a-z0-9]+|[A-Z0-9]+", 36), ("[A-Za-z]+", 52), ("[A-Za-z0-9]+", 62))]
 
 #: Identifiers, keywords and placeholder values that code and configuration repeat.
 IDENTIFIERS = (
@@ -48,6 +53,13 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789"
 )
 
+#: Fills surroundings that are shorter than AROUND.
+PROSE = (
+    "There was no sign of them in the morning, and the people who had waited by the river went back to their work. She said that "
+    "some of the letters could be kept, but most would have to be sent again before the end of the year. Nothing else happened, "
+    "so we walked down to the old house and talked about which of the books should go first. "
+)
+
 
 def _compressor() -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -61,12 +73,21 @@ class Novelty:
         self.compress = _compressor().compress
 
     def share(self, text: str, start: int, end: int) -> float:
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
         span = text[start:end].encode()
+        if not (re.search(b"[0-9]", span) and re.search(b"[A-Za-z]", span)):
+            before = PROSE[: AROUND - len(before)] + before
+        before, after = before.encode(), after.encode()
         with_it, without = len(self.compress(before + after + span)), len(self.compress(before + after))
         return (with_it - without) / len(span)
 
 
+def demanded(span: str) -> float:
+    """The share of its bytes that a span must cost: what a random one of its alphabet and length does at least."""
+    bits = math.log2(next((n for p, n in _alphabets if p.fullmatch(span)), 64))
+    return min(COSTS, 0.99 * bits / 8 * (1 + 16 / len(span)))
+
+
 def find_secrets(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as in KINDS."""
     found = [(m.start(), 0, m.end()) for m in _assign.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -77,10 +98,10 @@ def find_secrets(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
         for m in _candidate.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
             if m.start() - word.end() > REACH:
                 break
-            if m.start() in tried or not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+            if m.start() in tried:
                 continue
             tried.add(m.start())
-            if novelty.share(text, m.start(), m.end()) >= COSTS:
+            if novelty.share(text, m.start(), m.end()) >= demanded(m[0]):
                 found.append((m.start(), 3, m.end()))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 

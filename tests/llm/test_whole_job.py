@@ -1,10 +1,17 @@
 """What reviews found missing: each query and stage does its method's whole job."""
 
 import hashlib
+import random
+import string
 
 import corpus_pipeline
-from lexloom.llm import queries, sentence_pieces
+from lexloom.llm import queries, secret_scan, sentence_pieces
 
+PROSE = (
+    "She went to see whether any of the boats had come back, for it was late, and a wind had risen from the north. Nobody answered; "
+    "the quay was dark. He would have asked the keeper, but the keeper slept, and so the matter rested until Monday, when four men "
+    "arrived by train with a chest of tools and began to dig."
+)
 PIECES = ["a▁b ▁", "two  spaces é", " led\nby one", "plain words\n\nand a line", "日本 x", "", None, "plain words again"]
 
 
@@ -28,3 +35,20 @@ def test_pieces_of_query_and_stage_have_source_spans(spark, tmp_path):
             assert p["begin"] == at and (source == said or at == 0 and b" " + source == said)
             at = p["end"]
         assert at == len(held)
+
+
+def test_long_keys_of_any_alphabet_are_novel():
+    novelty, rng = secret_scan.Novelty(), random.Random(9)
+    upper, digits = string.ascii_uppercase, string.digits
+    alphabets = {"base64": (string.ascii_letters + digits + "+/", (32, 256, 1600, 4000)), "hex": (digits + "ABCDEF", (64, 128, 256, 1600)), "base32": (upper + "234567", (64, 256, 1600)), "lower": (string.ascii_lowercase + digits, (128, 256, 1600)), "letters": (string.ascii_letters, (64, 256)), "digits": (digits, (32, 256))}
+    for around in ("", PROSE):
+        for name, (letters, sizes) in alphabets.items():
+            for n in sizes:
+                key = "".join(rng.choice(letters) for _ in range(n))
+                text = f"{around} token {key} {around}"
+                at = text.index(key)
+                assert ("novel", at, at + n) in secret_scan.find_secrets(text, novelty), (name, n)
+    key = "q9Zx3vT7bLk2Wm8Rj5Np"
+    assert ("novel", 8, 28) in secret_scan.find_secrets(f"key-pad={key} end", novelty)
+    for plain in ("the secret of internationalization is", "token counterrevolutionaries", "secret configurationManagerFactory", "token /usr/local/lib/python/site-packages/thing"):
+        assert not secret_scan.find_secrets(plain, novelty)
