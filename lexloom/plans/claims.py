@@ -106,7 +106,7 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that passages made from documents carry."""
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("See A v. Commissioner, T.C. Memo. 2010-"), F.col("doc_id") % 40, F.lit(", 9 T.C.M. (CCH) 1; B v. Commissioner, 116 T.C. "), F.col("doc_id") % 30 + 430, F.lit(" (2001).\n"), F.substring("text", 1, 200))
+    text = F.concat(F.lit("See A v. Commissioner, T.C. Memo. 2010-"), F.col("doc_id") % 40, F.lit(", 9 T.C.M. (CCH) 1; B v. Commissioner, 116 T.C. "), F.col("doc_id") % 30 + 430, F.lit(" (2001).\n"), F.coalesce("text", F.lit("")))
     return L.cited_opinions(d.select(F.concat(F.lit("T.C. Memo. 2010-"), F.col("doc_id") % 40 + F.col("doc_id") % 2).alias("citing"), text.alias("text")))
 
 

@@ -16,3 +16,12 @@ def test_running_spend_goes_on_until_the_cap(spark, tmp_path):
             want[i] = spent
     assert len(want) == 3500 and got.keys() == want.keys()
     assert all(abs(got[i] - s) < 1e-7 for i, s in want.items())
+
+
+def test_citation_edges_reads_the_whole_text(spark, tmp_path):
+    late = "word " * 60 + "See C v. Commissioner, T.C. Memo. 1999-77."
+    spark.createDataFrame([(1, late), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["citation_edges"](spark, str(tmp_path)).collect()}
+    assert ("T.C. Memo. 2010-2", "T.C. Memo. 1999-77") in got
+    assert ("T.C. Memo. 2010-2", "T.C. Memo. 2010-1") in got
+    assert ("T.C. Memo. 2010-2", "116 T.C. 432") in got
