@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "novel")
 BASE = 3
 #: Characters of surroundings on each side, characters between sensitive word and candidate, least candidate, and the share of its bytes that a short one must cost.
 AROUND, REACH, LEAST, COSTS = 256, 40, 16, 0.8
+#: Characters measured at once; a longer candidate is novel where one of its windows is.
+WINDOW = 4096
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
@@ -81,6 +83,9 @@ class Novelty:
         with_it, without = len(self.compress(before + after + span)), len(self.compress(before + after))
         return (with_it - without) / len(span)
 
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        return self.share(text, start, end) >= demanded(text[start:end])
+
 
 def demanded(span: str) -> float:
     """The share of its bytes that a span must cost: what a random one of its alphabet and length does at least."""
@@ -94,15 +99,21 @@ def find_secrets(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
     found += [(m.start(), 1, m.end()) for m in _access.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _hex.finditer(text)]
     tried: set[int] = set()
+    run, novel = (0, 0), -1  # the latest run of candidate characters, and of its windows after the first the last novel one
     for word in _sensitive.finditer(text):
-        for m in _candidate.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
-            if m.start() - word.end() > REACH:
+        for m in _candidate.finditer(text, word.end(), min(len(text), word.end() + REACH + LEAST + 2)):
+            start = m.start()
+            if start - word.end() > REACH:
                 break
-            if m.start() in tried:
+            if start in tried:
                 continue
-            tried.add(m.start())
-            if novelty.share(text, m.start(), m.end()) >= demanded(m[0]):
-                found.append((m.start(), 3, m.end()))
+            tried.add(start)
+            if not run[0] <= start < run[1]:
+                run = start, _candidate.match(text, start).end()
+                later = (min(at, run[1] - WINDOW) for at in range(start + WINDOW, run[1], WINDOW))
+                novel = max((at for at in later if novelty.is_novel(text, at, at + WINDOW)), default=-1)
+            if novel >= start or novelty.is_novel(text, start, min(start + WINDOW, run[1])):
+                found.append((start, 3, run[1]))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 

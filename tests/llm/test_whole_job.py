@@ -52,3 +52,12 @@ def test_long_keys_of_any_alphabet_are_novel():
     assert ("novel", 8, 28) in secret_scan.find_secrets(f"key-pad={key} end", novelty)
     for plain in ("the secret of internationalization is", "token counterrevolutionaries", "secret configurationManagerFactory", "token /usr/local/lib/python/site-packages/thing"):
         assert not secret_scan.find_secrets(plain, novelty)
+
+
+def test_very_long_keys_are_reported_to_their_end():
+    novelty, rng = secret_scan.Novelty(), random.Random(10)
+    key = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(20_000)) + "=="
+    text = f"private {key} end, token nothing here"
+    found = secret_scan.find_secrets(text, novelty)
+    assert ("novel", 8, 8 + len(key)) in found and all(e == 8 + len(key) for k, _, e in found if k == "novel")
+    assert not secret_scan.find_secrets("token" * 20_000, novelty)
