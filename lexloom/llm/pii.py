@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 The base kinds (email, ip, card, phone) are reported whenever pattern and check hold; their score, from the kind and the
-words before a span, is a further result. Two more kinds exist only through the method: iban spans need the mod-97
+words around a span, is a further result. Two more kinds exist only through the method: iban spans need the mod-97
 check, and national numbers (nid), which have no checksum, need a context word to reach the threshold.
 
 Edge cases: null and empty texts have no spans and the digest of the empty string; each row is scanned by itself, so
@@ -76,6 +76,18 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers that pass mod-97; each ends at the last word with which it does, as a match can take words that follow."""
+    found, m = [], _iban.search(text)
+    while m:
+        ends = [m.end(), *(e for e in range(m.end() - 1, m.start(), -1) if text[e] == " ")]
+        held = (e for e in ends if (n := _iban.match(text, m.start(), e)) and n.end() == e and mod97(n[0].replace(" ", "")))
+        if (end := next(held, None)) is not None:
+            found.append((m.start(), end))
+        m = _iban.search(text, m.start() + 1 if end is None else end)
+    return found
+
+
 def _small(part: str) -> bool:
     value = part.lstrip("0")
     return len(value) <= 3 and int(value or "0") <= 255
@@ -85,21 +97,18 @@ def find_pii(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by kind as in KINDS, then start."""
     found = [("email", s, e) for s, e in emails(text)]
     if text.isascii() and not any(map(text.__contains__, "0123456789")):
-        return [(k, s, e, _score(text, k, s)) for k, s, e in found]
+        return [(k, s, e, _score(text, k, s, e)) for k, s, e in found]
     found += [("ip", m.start(), m.end()) for m in _ip.finditer(text) if all(map(_small, m[0].split(".")))]
     found += [("card", m.start(), m.end()) for m in _card.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := _not_digit.sub("", m[0])) <= 19 and luhn(d)]
     found += [("phone", m.start(), m.end()) for m in _phone.finditer(text) if 8 <= len(_not_digit.sub("", m[0])) <= 15]
-    out = [(k, s, e, _score(text, k, s)) for k, s, e in found]
-    for kind, pattern in (("iban", _iban), ("nid", _nid)):
-        for m in pattern.finditer(text):
-            if (kind != "iban" or mod97(m[0].replace(" ", ""))) and (score := _score(text, kind, m.start())) >= THRESHOLD:
-                out.append((kind, m.start(), m.end(), score))
-    return out
+    out = [(k, s, e, _score(text, k, s, e)) for k, s, e in found]
+    further = [("iban", s, e) for s, e in ibans(text)] + [("nid", m.start(), m.end()) for m in _nid.finditer(text)]
+    return out + [(k, s, e, score) for k, s, e in further if (score := _score(text, k, s, e)) >= THRESHOLD]
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    near = text[max(0, start - CONTEXT_CHARS) : start]
-    return min(1.0, SCORES[kind] + CONTEXT_BONUS * bool(_context[kind].search(near)))
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    near = (text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS])
+    return min(1.0, SCORES[kind] + CONTEXT_BONUS * any(map(_context[kind].search, near)))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("scores", pa.list_(pa.float64()))])

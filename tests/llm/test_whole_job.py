@@ -5,7 +5,7 @@ import random
 import string
 
 import corpus_pipeline
-from lexloom.llm import queries, secret_scan, sentence_pieces
+from lexloom.llm import pii, queries, secret_scan, sentence_pieces
 
 PROSE = (
     "She went to see whether any of the boats had come back, for it was late, and a wind had risen from the north. Nobody answered; "
@@ -61,3 +61,9 @@ def test_very_long_keys_are_reported_to_their_end():
     found = secret_scan.find_secrets(text, novelty)
     assert ("novel", 8, 8 + len(key)) in found and all(e == 8 + len(key) for k, _, e in found if k == "novel")
     assert not secret_scan.find_secrets("token" * 20_000, novelty)
+
+
+def test_context_after_a_span_and_ibans_before_a_word():
+    assert [(k, s, e) for k, s, e, _ in pii.find_pii("123-45-6789 (SSN)")] == [("nid", 0, 11)]
+    for text, spans in (("BE68 5390 0754 7034 BANK", [(0, 19)]), ("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00", [(0, 19), (20, 47)])):
+        assert [(s, e) for k, s, e, _ in pii.find_pii(text) if k == "iban"] == spans
