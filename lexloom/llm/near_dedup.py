@@ -11,12 +11,12 @@ several components are then paired exactly: two sets at the threshold share one
 filtering, rarest by a count sketch; any order is correct), so each document lists its few rarest, and only documents of
 different components that list the same one, at places that leave enough after it, are compared. Passages that thousands of documents share are not rare and
 pair nothing, and of the largest component under a shingle members are not compared with each other. No link between
-different components of bucketed documents is lost. Components are found by contraction, each round a join of written
-tables.
+different components of bucketed documents is lost. Components are found by contraction in a number of rounds that grows with
+the logarithm of the vertices, each round a join of written tables.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have none and are linked
-with nothing; a null doc_id is linked with nothing and its component is null; rows that repeat a doc_id are one node; an
-empty table gives an empty result; further columns are ignored.
+with nothing; a null doc_id is linked with nothing and its component is null; rows that repeat a doc_id are one node, which has
+the links of all its texts; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from lexloom.session import materialise
 BANDS, ROWS = 40, 6
 #: Shingles that get their coordinates at once, counters of the sketch of shingle frequencies, rows in which a task hands them on.
 CHUNK, COUNTERS, CHUNKS = 2048, 1 << 22, 64
+#: Rounds of contraction by ids.
+BY_ID = 2
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -145,22 +147,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the least id reachable) of every id in edges(a, b), by contraction.
 
-    In a round each vertex joins the least of itself and its neighbours, and edges are redrawn between what they joined.
+    In a round each vertex joins the first of itself and its neighbours, and edges are redrawn between what they joined. In the
+    first BY_ID rounds the least id is first, which settles stars; then a hash that changes with the round, which leaves about
+    half of the vertices of any shape. What each round joined is a table, and the tables, the smallest first, give the labels.
     """
-    edges = materialise(edges.where("a <> b"), "edges")
-    labels = None
+    edges, steps = materialise(edges.where("a <> b"), "edges"), []
     while not edges.isEmpty():
+        turn = len(steps)
+        order = lambda c: F.struct((F.lit(0) if turn < BY_ID else F.xxhash64(c, F.lit(turn))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialise(ways.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "step")
-        if labels is None:
-            labels = step
-        else:
-            moved = labels.join(step.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-            labels = materialise(moved.select("id", F.coalesce("to", "comp").alias("comp")), "labels")
-        to = lambda side: step.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_to"))
-        edges = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
-        edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+        step = ways.groupBy("a").agg(F.min(order("b")).alias("b")).select(F.col("a").alias("id"), F.least("b", order("a")).getField("v").alias("comp"))
+        steps.append(materialise(step, "step"))
+        to = lambda side: steps[-1].select(F.col("id").alias(side), F.col("comp").alias(f"{side}_to"))
+        moved = edges.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
+        edges = materialise(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+    if not steps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    labels = steps.pop()
+    while steps:
+        known = labels.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+        labels = materialise(steps.pop().join(known, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+    least = labels.groupBy("comp").agg(F.min("id").alias("least"))
+    return materialise(labels.join(least, "comp").select("id", F.least("least", "comp").alias("comp")), "labels")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -234,6 +242,14 @@ def _cross_pairs(rare: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
+def _same_document(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: the classes that rows of one doc_id belong to, the least with each other."""
+    several = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    reps = known.join(several, "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "rep")
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return materialise(reps.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "same")
+
+
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
 
@@ -253,7 +269,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     sets = materialise(map_arrow(docs.join(ids, "doc_id", "left_semi"), _sets(shingle_words), "id long, held binary"), "sets")
 
     best = stars.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("best")).select(F.negative("best.a").alias("a"), "b")
-    links = _confirmed(best, sets, percent)
+    links = _confirmed(best, sets, percent).unionByName(_same_document(known, classes))
     labels = components(links)
 
     # what is left: documents in buckets of several components
