@@ -214,31 +214,29 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> list[int]:
         """counts[i]: tokens that the library gives for the first i code points of the text."""
-        counts, base = [0], 0
+        counts, base, before = [0], 0, ("", 0)
         for part, special in self._parts(text):
             if special:
-                # until it is whole, its letters are ordinary text; what stood before it keeps its tokens only then
-                ahead = self._tail(text[: len(counts) - 1 + len(part) - 1], len(part) - 1)
-                counts += [*ahead, counts[-1] + 1]
+                # until it is whole, its letters are ordinary text after that before it, which keeps its tokens only then
+                ordinary, fixed = before
+                counts += [fixed + self.count(ordinary + part[:i]) for i in range(1, len(part))]
+                counts.append(base + 1)
                 base = counts[-1]
                 continue
-            pieces = self._cut(part)
-            before, previous = base, ""
-            for k, p in enumerate(pieces):
+            before = part, base
+            since, previous = base, ""
+            for p in self._cut(part):
                 at = self.piece(p.encode())
                 ends = list(accumulate(len(c.encode()) for c in p))
                 own = [base + at[e] for e in ends]
                 if p[0].isspace() and previous and previous.isspace():
-                    own[0] = before + self._count((previous + p[0]).encode())
+                    own[0] = since + self._count((previous + p[0]).encode())
                 if p in ("'re", "'ve", "'ll"):
                     own[1] = base + 2
                 counts += own
-                before, base, previous = base, base + at[-1], p
+                since, base, previous = base, base + at[-1], p
         return counts
 
-    def _tail(self, text: str, n: int) -> list[int]:
-        return [self.count(text[: len(text) - n + 1 + i]) for i in range(n)]
-
     def truncated(self, text: str, limit: int) -> int:
         """Code points of the longest prefix of at most limit tokens."""
         return self._truncated(text, limit, *self.unit_counts(text))
