@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import exact_dedup, mixing, near_dedup, pii, quality, queries, secret_scan, sentence_pieces, token_counts, token_store, topk
+from lexloom.session import materialise
 from oracle import spark_rows, sql_rows
 
 ODD = [
@@ -147,6 +149,23 @@ def test_near_dedup_on_odd_rows(odd, empty):
     assert near_dedup.near_dedup(empty, 2, 80).count() == 0
 
 
+def test_rows_that_repeat_an_id_link_their_texts(spark):
+    """The texts of one doc_id are one node, so what is like either is in its component."""
+    a, b, c = "alpha beta gamma delta", "one two three four", "red green blue black"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, c), (9, c), (11, "something else again here"), (3, a)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 3, False), (11, 11, True)}
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, write = [], near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label: rounds.append(label) or write(df, label))
+    chain = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2000) for i in range(1, 300)] + [(5000, 5001), (5001, 5001)]
+    got = {r["id"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1001)}, **{2000 + i: 2000 for i in range(300)}, 5000: 5000, 5001: 5000}
+    assert rounds.count("step") <= 20
+
+
 def test_signature_coordinates_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000, np.uint64))
@@ -177,12 +196,22 @@ def test_prefix_counts_equal_the_library(counter):
         assert counter.truncated(text, limit) == max(k for k, n in enumerate(want) if n <= limit)
 
 
+def test_prefixes_of_special_strings_take_linear_time(counter):
+    text = "<|endoftext|>" * 23_000
+    since = time.process_time()
+    counts = counter.prefix_counts(text)
+    assert time.process_time() - since < 5 and len(counts) == len(text) + 1 and counts[-1] == 23_000
+    small = "<|endoftext|>é<|endoftext|> a<|endoftext"
+    assert counter.prefix_counts(small) == [len(counter.library.encode(small[:k], add_special_tokens=False).ids) for k in range(len(small) + 1)]
+
+
 def test_token_counts_of_documents(docs, texts, odd, empty, counter):
     path = queries.tokenizer("byte_bpe_50k.json")
     got = {r["doc_id"]: r for r in token_counts.count_tokens(docs, path).collect()}
     for (i, t), e in zip(texts.items(), counter.library.encode_batch(list(texts.values()), add_special_tokens=False), strict=True):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (len(e.ids), len(t.encode()), len(e.ids) > 1024)
-    assert token_counts.count_tokens(odd, path).count() == len(ODD)
+    rows = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(odd, path).collect())
+    assert rows == Counter((i, len((t or "").encode()), n, n > 1024) for i, t, *_ in ODD for n in [len(counter.library.encode(t or "", add_special_tokens=False).ids)])
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
@@ -209,7 +238,13 @@ def test_store_holds_what_the_library_gives(spark, docs, texts, odd, tmp_path):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     token_store.write_store(odd, path, str(tmp_path / "b"), end=2)
-    assert token_store.read_store(spark, str(tmp_path / "b")).count() == len(ODD)
+    held, start = token_store.read_store(spark, str(tmp_path / "b")).collect(), 0
+    for r in sorted(held, key=lambda r: r["start"]):
+        assert r["start"] == start
+        start += r["n_tokens"]
+    want = [(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t, *_ in ODD]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in held) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in want)
+    assert [r["doc_id"] for r in sorted(held, key=lambda r: r["start"])] == sorted((r[0] for r in ODD), key=lambda i: (i is not None, i))
 
 
 def test_damage_is_noticed(spark, docs, tmp_path):
@@ -244,7 +279,10 @@ def test_pieces_equal_the_library_and_cover_the_source(docs, texts, odd, empty):
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(coder.library.decode(ids).encode()).hexdigest()
         assert (got[i]["n_tokens"], got[i]["n_span_bytes"]) == (len(ids), len(t.encode()))
-    assert sentence_pieces.encode_decode(odd, path).count() == len(ODD)
+    said = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    want = [(i, t or "", coder.library.encode(t or "")) for i, t, *_ in ODD]
+    found = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["n_span_bytes"]) for r in sentence_pieces.encode_decode(odd, path).collect())
+    assert found == Counter((i, len(ids), said(ids), hashlib.sha256(coder.library.decode(ids).encode()).hexdigest(), len(t.encode())) for i, t, ids in want)
     assert sentence_pieces.encode_decode(empty, path).count() == 0
     (row,) = sentence_pieces.with_pieces(odd.where("doc_id = 8"), path).collect()
     assert row["pieces"][-1]["end"] == len(ODD[9][1].encode())
@@ -301,7 +339,17 @@ def test_pii_base_spans(docs, texts, odd, empty):
         text = "".join(rng.choice(["a", "@", ".", "-", "1", "255", "+4", " ", "(", "4111111111111111", "b@c.d", "é"]) for _ in range(rng.randint(0, 16)))
         found = [f"{k}:{s}:{e}" for k, s, e, _ in pii.find_pii(text) if k in pii.KINDS[: pii.BASE]]
         assert ",".join(found) == brute_pii(text)
-    assert pii.scan_pii(odd).count() == len(ODD) and pii.scan_pii(empty).count() == 0
+    found = Counter((r["doc_id"], r["base_sha256"], r["n_email"], r["n_card"]) for r in pii.scan_pii(odd).collect())
+    want = [(i, brute_pii(t or "")) for i, t, *_ in ODD]
+    assert found == Counter((i, hashlib.sha256(b.encode()).hexdigest(), b.count("email"), b.count("card")) for i, b in want)
+    assert pii.scan_pii(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 300_000, "+1 " * 300_000, "A1B2 " * 150_000, "a-" * 300_000 + "@" + "b-" * 200_000, "1 " * 400_000])
+def test_pii_in_long_runs_takes_linear_time(text):
+    since = time.process_time()
+    pii.find_pii(text)
+    assert time.process_time() - since < 4
 
 
 def test_pii_beyond_the_base():
@@ -327,7 +375,9 @@ def test_secret_base_spans(docs, texts, odd, empty):
         text = "".join(rng.choice(["Token", "=", ": ", '"', "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "ſecret", " ", "é"]) for _ in range(rng.randint(0, 12)))
         found = [f"{k}:{s}:{e}" for k, s, e in secret_scan.find_secrets(text, novelty) if k != "novel"]
         assert ",".join(found) == brute_secrets(text)
-    assert secret_scan.scan_secrets(odd).count() == len(ODD) and secret_scan.scan_secrets(empty).count() == 0
+    found = Counter((r["doc_id"], r["base_sha256"]) for r in secret_scan.scan_secrets(odd).collect())
+    assert found == Counter((i, hashlib.sha256(brute_secrets(t or "").encode()).hexdigest()) for i, t, *_ in ODD)
+    assert secret_scan.scan_secrets(empty).count() == 0
 
 
 def test_novel_strings_cost_their_bytes():
@@ -357,13 +407,48 @@ def test_quality_on_held_out_labels(spark, sf_dir, odd, empty):
     assert quality.quality_scores(empty, none).count() == 0
 
 
-def test_isotonic_is_increasing_and_nearest():
+def by_definition(y, w):
+    """The nearest increasing sequence: at each place the greatest mean that starts before of the least mean that ends after."""
+    mean = lambda a, b: y[a:b] @ w[a:b] / w[a:b].sum()
+    return np.array([max(min(mean(a, b) for b in range(k + 1, len(y) + 1)) for a in range(k + 1)) for k in range(len(y))])
+
+
+def test_isotonic_is_the_nearest_increasing_sequence():
     rng = np.random.default_rng(3)
-    x, w = np.arange(40.0), rng.integers(1, 9, 40).astype(float)
-    y = x / 40 + rng.normal(0, 0.3, 40)
-    at, level = quality.isotonic(x, y, w)
-    assert (np.diff(level) > 0).all()
-    assert math.isclose(np.interp(x, at, level) @ w / w.sum(), y @ w / w.sum(), abs_tol=0.1)
+    for n in (1, 2, 40):
+        x, w = np.arange(float(n)), rng.integers(1, 9, n).astype(float)
+        y = x / n + rng.normal(0, 0.3, n)
+        at, level = quality.isotonic(x, y, w)
+        assert (np.diff(level) > 0).all()
+        want = by_definition(y, w)
+        assert np.allclose(np.unique(want.round(12)), np.unique(level.round(12)))
+        assert np.allclose([np.average(x[want.round(12) == v], weights=w[want.round(12) == v]) for v in np.unique(want.round(12))], at)
+
+
+def test_scores_equal_a_dense_ridge(spark, sf_dir):
+    """The summed equations against one solved matrix of the same features, calibrated by definition."""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    x = materialise(quality.measured(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), "test")
+    model = quality.fit(x, labels)
+    y = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    rows = [(r["doc_id"], np.array(r["x"])) for r in x.collect()]
+    known = [(i, v) for i, v in rows if i in y]
+    every = np.stack([v for _, v in known])
+    assert np.allclose(model.mean, every.mean(axis=0)) and np.allclose(model.scale, np.maximum(every.std(axis=0), 1e-3), atol=1e-6)
+    held = np.array([(zlib.crc32(str(i).encode()) // 3) % 4 == 0 for i, _ in known])
+    target = np.array([y[i] for i, _ in known])
+    z = model.features(every)
+    d = z.shape[1]
+    penalty = np.full(d, quality.RIDGE * (~held).sum() / quality.FEATURES * 10)
+    penalty[-1] = 1e-9
+    tall = np.vstack([z[~held], np.diag(np.sqrt(penalty))])
+    beta = np.linalg.lstsq(tall, np.concatenate([target[~held], np.zeros(d)]), rcond=None)[0]
+    assert np.allclose(z @ beta, model.raw(every), atol=1e-5)
+    k = np.clip((z[held] @ beta + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used = np.unique(k)
+    want = by_definition(np.array([target[held][k == b].mean() for b in used]), np.array([(k == b).sum() for b in used], float))
+    assert np.allclose(np.unique(want.round(9)), np.unique(model.knots[1].round(9)), atol=1e-6)
 
 
 # mixing
@@ -402,30 +487,64 @@ def test_search_on_odd_rows(spark, odd, empty):
     asked = odd.where("doc_id is not null").withColumnRenamed("doc_id", "query_id")
     got = topk.search(topk.build_index(odd), asked, k=3).collect()
     assert {r["query_id"] for r in got} == {3, 4, 6, 7, 8, 9}
+    assert_same_best(best_of(topk.search(topk.build_index(odd), asked.distinct(), k=3)), brute_best([r[:2] for r in ODD], {(r[0], r[1]) for r in ODD if r[0] is not None}, 3))
     assert topk.search(topk.build_index(empty), asked, k=3).count() == 0
     assert topk.search(topk.build_index(odd), asked.where("false"), k=3).count() == 0
 
 
-def test_pruned_shards_give_the_exact_best(monkeypatch):
-    rng, n = random.Random(8), 3000
+def brute_best(docs, asked, k):
+    """The k best (doc_id, score) of each of asked (id, text)."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    counts = [(i, Counter(words(t))) for i, t in docs]
+    n, mean, df = len(docs), sum(sum(c.values()) for _, c in counts) / len(docs), Counter(t for _, c in counts for t in c)
+    out = {}
+    for q, text in asked:
+        found = []
+        for i, c in counts:
+            length = sum(c.values())
+            score = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t in set(words(text)) if t in c)
+            if round(score, 6) > 0:
+                found.append((-round(score, 6), i is None, i))
+        if found:
+            out[q] = [(i, -s) for s, _, i in sorted(found)[:k]]
+    return out
+
+
+def best_of(df):
+    out = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out[r["query_id"]].append((r["doc_id"], r["score"]))
+    return dict(out)
+
+
+def assert_same_best(got, want):
+    assert got.keys() == want.keys()
+    for q, hits in want.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in hits]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in hits], atol=2e-6)
+
+
+@pytest.mark.parametrize("together", [1 << 25, 1 << 13])
+def test_pruned_shards_give_the_exact_best(spark, monkeypatch, together):
+    """Several shards and blocks of queries, ties across shards, repeated texts, null ids."""
+    rng, n = random.Random(8), 1500
     docs = [(i, " ".join(rng.choice(["the", "of", f"w{int(rng.paretovariate(0.6)) % 5000}"]) for _ in range(rng.randint(0, 60)))) for i in range(n)]
-    counts = {i: topk.terms(t.encode()) for i, t in docs}
-    lengths = {i: sum(c.values()) for i, c in counts.items()}
-    mean, df = sum(lengths.values()) / n, Counter(t for c in counts.values() for t in c)
-    monkeypatch.setattr(topk, "SHARD_BYTES", 1 << 15)
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
-    shards = [topk.Shard(row, mean) for b in topk._shards(iter([batch.slice(at, 500) for at in range(0, n, 500)])) for row in b.to_pylist()]
-    assert len(shards) > 2
-    for q in rng.sample(range(n), 40):
-        wanted = np.array(list(counts[q]), np.uint64)
-        idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in wanted.tolist()])
-        held = [[]]
-        for s in shards:
-            s.search([(wanted, idf)], 10, held)
-        (best,), want = held, []
-        for i, c in counts.items():
-            score = sum(x * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for t, x in zip(wanted.tolist(), idf, strict=True) if t in c)
-            if score > 0:
-                want.append((-round(score, 6), i))
-        assert [i for _, i in best] == [i for _, i in sorted(want)[:10]]
-        assert np.allclose([s for s, _ in best], [s for s, _ in sorted(want)[:10]], atol=2e-6)
+    docs += [(n + i, docs[7 * (i % 40)][1]) for i in range(300)] + [(None, docs[0][1]), (None, "the of")] + [(3000 + i, "same words here") for i in range(30)]
+    rng.shuffle(docs)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 1 << 14)
+    monkeypatch.setattr(topk, "QUERY_BYTES", together)
+    asked = rng.sample([d for d in docs if d[0] is not None], 60) + [(9001, "same words"), (9002, "nothing_of_this zzz"), (9003, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    index = topk.build_index(df)
+    assert index.count() > 10
+    got = best_of(topk.search(index, spark.createDataFrame(asked, "query_id long, text string"), k=10))
+    assert_same_best(got, brute_best(docs, asked, 10))
+
+
+def test_counted_terms():
+    texts = ["The the THE 3rd", "", "naïve-naïve  \x00é", "the"]
+    found = topk.counted([t.encode() for t in texts])
+    name = lambda w: __import__("xxhash").xxh3_64_intdigest(w.encode())
+    want = {(0, name("the")): 3, (0, name("3rd")): 1, (2, name("naïve")): 2, (2, name("é")): 1, (3, name("the")): 1}
+    assert {(d, t): n for d, t, n in zip(found.doc.tolist(), found.term.tolist(), found.tf.tolist(), strict=True)} == want
+    assert found.lengths.tolist() == [4, 0, 3, 1]
