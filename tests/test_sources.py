@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from lexloom.sources import documents as D
-from lexloom.sources import notes as N
 
 
 def value(spark, column):
@@ -58,31 +57,3 @@ def test_question_sets(spark, tmp_path):
     assert D.missing_plans(got, plans, 2).count() == 3
     (tmp_path / "titles.json").write_text(json.dumps({"titles": [{"number": 25, "up_to_date_as_of": "2026-01-01"}, {"number": 26, "up_to_date_as_of": "2026-02-02"}]}))
     assert D.latest_snapshot(spark, str(tmp_path / "titles.json")).first()[0] == "2026-02-02"
-
-
-def test_rules_of_notes():
-    assert N.rule("Amendment by Pub. L. 113–295 not applicable to preferred stock issued before Oct. 1, 1942.") is None
-    assert N.rule("shall apply to taxable years beginning after December 31, 2017.")[2] == "December 31, 2017"
-    note = (
-        "Amendment by section 70513 of Pub. L. 119–21 applicable to taxable years beginning after July 4, 2025, except that amendment by section 70513(a) of Pub. L. 119–21 applicable to facilities "
-        "the construction of which begins after the date which is 12 months after July 4, 2025, amendment by section 70513(d) of Pub. L. 119–21 applicable on or after June 16, 2025"
-    )
-    assert N.rule(N.clause_for(note, "70513", "d"))[2] == "June 16, 2025"
-    assert N.rule(N.clause_for(note, "70513", "b"))[2] == "July 4, 2025"
-
-
-def test_what_an_amendment_covers():
-    text = "(3) Qualified residence interest. (A) In general. ... the limitation of subparagraph (F) ..."
-    assert N.covers("26 U.S.C. § 163(h)(3)", text, "(h)(3)(A)")
-    assert not N.covers("26 U.S.C. § 163(h)(3)", text, "(h)(3)(F)")
-    assert N.covers("26 U.S.C. § 23(b)-(d)", "x", "(c)(1)") and not N.covers("26 U.S.C. § 23(b)-(d)", "x", "(e)")
-
-
-def test_links():
-    note = "Amendments2025—Subsec. (b)(1). Pub. L. 119–21, § 70306(a), substituted “$2,500,000” for “$1,000,000”. 2017—Subsec. (b)(1). Pub. L. 115–97, § 13101(a), substituted “$1,000,000” for “$500,000”."
-    dates = {"179": ["Effective Date of 2025 Amendment Pub. L. 119–21, § 70306(b), provided that the amendments shall apply to property placed in service in taxable years beginning after December 31, 2024."]}
-    got = N.link(("179", "26 U.S.C. § 179(b)(1)", "(1) Dollar limitation shall not exceed $2,500,000."), N.entries(note), dates)
-    assert (got["year"], got["date"], got["retroactive"]) == (2025, "December 31, 2024", False)
-    assert N.link(("224", "26 U.S.C. § 224", "x"), [], {}, "(Added Pub. L. 119–21, § 1, July 4, 2025,", ["Section applicable to taxable years beginning after Dec. 31, 2024."])["amendment"] == "section added"
-    refer = {"1": ["Effective Date of 2025 Amendment For effective date of amendment by Pub. L. 119–21, see note under section 179."], **dates}
-    assert N.effective(refer, "1", 2025, "119-21")["date"] == "December 31, 2024"
