@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.session import ship
+from lexloom.session import materialise, ship
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -85,6 +85,7 @@ def slots(ranked: DataFrame, hits: DataFrame, k: int, floor: int = 1, statute_fl
     First each sub-query's best floor rows, then statute_floor statute rows, then pinned citations, then the rest while
     there are fewer than k; at last all are sorted by score, stable in that order, and cut to k.
     """
+    ranked, hits = materialise(ranked, "ranked"), hits.select("question", "sq", "citation")  # each part reads the ranking anew
     tag = lambda df, cls, sq: df.select("question", "citation", "score", "ord", F.lit(cls).alias("cls"), sq.alias("sq"))
     of = ranked.join(hits.select("question", "sq", "citation").distinct(), ["question", "citation"])
     of = of.withColumn("_n", F.row_number().over(Window.partitionBy("question", "sq").orderBy("ord"))).where(F.col("_n") <= floor)

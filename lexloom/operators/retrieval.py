@@ -48,6 +48,13 @@ def vector(df: DataFrame, key: str, value: int | str, column: str = "embedding")
     return F.array(*[F.lit(float(x)) for x in row[0]])
 
 
+def scored_against(df: DataFrame, asked: DataFrame, key: str, column: str = "embedding") -> DataFrame:
+    """query_id, key, score of every row with every vector of asked, a few queries: their vectors are literals beside each row."""
+    vectors = [(r[key], list(map(float, r[column]))) for r in asked.select(key, column).orderBy(key).collect()]
+    scores = F.array(*[F.struct(F.lit(i).alias("query_id"), cosine(F.col(column), F.array(*[F.lit(x) for x in v])).alias("score")) for i, v in vectors])
+    return df.select(F.col(key).alias("key"), F.explode(scores).alias("s")).select("s.query_id", "key", "s.score")
+
+
 def dense_topk(df: DataFrame, query: Column, k: int = PREFETCH, key: str = "key", column: str = "embedding") -> DataFrame:
     """key, score, rank of the k nearest by exact cosine."""
     return ranked(df.select(key, cosine(F.col(column), query).alias("score")), k, key)

@@ -24,11 +24,11 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("**"), F.substring("text", 1, 40), F.lit("** [c"), "doc_id", F.lit("] , end ;")).alias("s"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("**"), F.coalesce("text", F.lit("")), F.lit("** [c"), "doc_id", F.lit("] , end ;")).alias("s"))
     return d.select("doc_id", F.md5(C.claim_text(F.regexp_replace("s", "[^ -~]", "x")).cast("binary")).alias("digest"))
 
 
-_CLAIM = r"""WITH d AS (SELECT doc_id, regexp_replace('**' || substr(text, 1, 40) || '** [c' || doc_id || '] , end ;', '[^ -~]', 'x', 'g') AS s FROM documents),
+_CLAIM = r"""WITH d AS (SELECT doc_id, regexp_replace('**' || coalesce(text, '') || '** [c' || doc_id || '] , end ;', '[^ -~]', 'x', 'g') AS s FROM documents),
 p AS (SELECT doc_id, regexp_replace(regexp_replace(s, '\[([^\[\]]+)\]', '', 'g'), '\*\*', '', 'g') AS s FROM d)
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '\s{2,}', ' ', 'g'), '\s+([,.;:])', '\1', 'g'), '^[ ,;]+|[ ,;]+$', '', 'g')) AS digest FROM p"""
 
@@ -103,6 +103,15 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n long, text string")
 
 
+#: Tags of page furniture go with their contents, block tags end a line, other tags vanish; runs of one text are one.
+_HTML = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|div|li|ul|ol|h[1-6]|article|nav|br|tr|table|title|head|body)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, generate_subscripts(string_split(h, chr(10)), 1) AS i, unnest(string_split(h, chr(10))) AS x FROM b),
+d AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[\s\x{85}\x{A0}]+', ' ', 'g')) AS x FROM c),
+e AS (SELECT *, lag(x) OVER (PARTITION BY page_id ORDER BY i) AS before FROM d WHERE x <> '')
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS n, x AS text FROM e WHERE before IS NULL OR x <> before"""
+
+
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that passages made from documents carry."""
     d = table(spark, sf_dir, "documents")
@@ -171,7 +180,7 @@ QUERIES = {
     "laundered_authorities": (laundered, _LAUNDERED),
     "reseeded_citations": (reseeded, _RESEED),
     "authority_facts": (authority_facts, _FACTS),
-    "html_blocks": (html_blocks, None),
+    "html_blocks": (html_blocks, _HTML),
     "citation_edges": (citation_edges, _EDGES),
     "index_sync": (index_sync, _SYNC),
     "authority_backfill": (

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import metrics as M
 from lexloom.operators import retrieval as R
+from lexloom.operators.ranking import first_n
 from lexloom.plans.tables import table
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ten nearest vectors of twenty queries, and gold: groups of vectors with the same label."""
-    v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("question"), F.col("embedding").alias("q"))
-    near = v.join(F.broadcast(asked)).select("question", "vec_id", R.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    from lexloom.operators.ranking import first_n
     from pyspark.sql import Window
 
-    top = first_n(near, ["question"], [F.desc("score"), F.asc("vec_id")], 10)
-    items = top.select("question", (F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "vec_id")) - 1).alias("rank"), F.concat(F.lit("c"), F.col("vec_id"), F.lit("#body#1")).alias("item"))
-    gold = v.where("vec_id < 20").select(F.col("vec_id").alias("question"), "label").join(v.where("vec_id < 60").select("label", F.col("vec_id").alias("w")), "label")
+    v = table(spark, sf_dir, "embeddings")
+    near = R.scored_against(v, v.where("vec_id < 20"), "vec_id").withColumnRenamed("query_id", "question")
+    top = first_n(near, ["question"], [F.desc("score"), F.asc("key")], 10)
+    items = top.select("question", (F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "key")) - 1).alias("rank"), F.concat(F.lit("c"), F.col("key"), F.lit("#body#1")).alias("item"))
+    gold = v.where("vec_id < 20").select(F.col("vec_id").alias("question"), "label").join(v.select("label", F.col("vec_id").alias("w")), "label")
     want = F.when(F.col("w") % 2 == 0, F.concat(F.lit("c"), "w")).otherwise(F.concat(F.lit("c"), F.col("w"), F.lit("#body#1")))
     return items, gold.select("question", (F.col("w") % 4).alias("grp"), want.alias("want"))
 
@@ -30,7 +29,7 @@ _JUDGED = """
 near AS (SELECT a.vec_id AS question, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20),
 items AS (SELECT question, n - 1 AS rank, 'c' || vec_id || '#body#1' AS item, 'c' || vec_id AS label FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS n FROM near) WHERE n <= 10),
 gold AS (SELECT a.vec_id AS question, b.vec_id % 4 AS grp, CASE WHEN b.vec_id % 2 = 0 THEN 'c' || b.vec_id ELSE 'c' || b.vec_id || '#body#1' END AS want
-         FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 20 AND b.vec_id < 60),
+         FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 20),
 fh AS (SELECT g.question, g.grp, min(i.rank) AS rank FROM gold g LEFT JOIN items i ON g.question = i.question AND (i.item = g.want OR i.label = g.want) GROUP BY g.question, g.grp)"""
 
 
@@ -63,7 +62,7 @@ SELECT event_type, max(value) FILTER (WHERE i = least(floor(0.5 * n), n - 1)) AS
 
 
 def mean_sd_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.mean_sd(table(spark, sf_dir, "orders").where("o_orderkey % 97 < 3"), ["o_orderpriority", "o_orderstatus"], "o_totalprice")
+    return M.mean_sd(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +218,7 @@ QUERIES = {
     "first_hits": (first_hits, f"WITH {_JUDGED} SELECT question, grp, rank FROM fh"),
     "recall_ndcg_mrr": (recall_ndcg_mrr, _METRICS),
     "index_percentiles": (index_percentiles, _PERCENTILES),
-    "mean_sd_by_group": (mean_sd_by_group, "SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), 9) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 9) AS sd FROM orders WHERE o_orderkey % 97 < 3 GROUP BY 1, 2"),
+    "mean_sd_by_group": (mean_sd_by_group, "SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), 9) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 9) AS sd FROM orders GROUP BY 1, 2"),
     "cohen_kappa": (
         cohen_kappa,
         f"""WITH {_LABELS}, p AS (SELECT judge AS a, score > 0.5 AS b FROM l),
@@ -239,7 +238,7 @@ QUERIES = {
     "faithfulness": (faithfulness, _FAITH),
     "running_spend": (
         running_spend,
-        """WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN ((event_id % 5000) * 0.15::DOUBLE + user_id * 0.6::DOUBLE) / 1e6 WHEN 'view' THEN ((event_id % 5000) * 1.0::DOUBLE + user_id * 5.0::DOUBLE) / 1e6 ELSE 0 END AS usd FROM events WHERE event_id < 3000),
+        """WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN ((event_id % 5000) * 0.15::DOUBLE + user_id * 0.6::DOUBLE) / 1e6 WHEN 'view' THEN ((event_id % 5000) * 1.0::DOUBLE + user_id * 5.0::DOUBLE) / 1e6 ELSE 0 END AS usd FROM events),
         s AS (SELECT event_id, round(sum(usd) OVER (ORDER BY event_id), 8) AS spent FROM c) SELECT event_id, spent FROM s WHERE spent <= 1.0""",
     ),
     "refusal_gate": (refusal_gate, "SELECT coalesce(avg(rate), 0) <= 0.6 AS ok FROM (SELECT avg((role = 'user')::INT) AS rate FROM conversations GROUP BY conv_id)"),

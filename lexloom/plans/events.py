@@ -87,7 +87,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 500")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", E.frame(F.col("event_type"), F.struct(F.col("user_id").alias("user"))).alias("frame"))
 
 
@@ -108,7 +108,7 @@ QUERIES = {
     "quota_today": (quota_today, "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' AND user_id % 8 = 3"),
     "stream_dedupe": (stream_dedupe, f"WITH {_SEQ} SELECT job_id, seq FROM e"),
     "stream_equals_batch": (stream_equals_batch, "SELECT ts::DATE AS day, user_id % 8 AS tenant, count(*) AS n FROM events GROUP BY 1, 2"),
-    "event_frames": (event_frames, """SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"user":' || user_id || '}' || chr(10) || chr(10) AS frame FROM events WHERE event_id < 500"""),
+    "event_frames": (event_frames, """SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"user":' || user_id || '}' || chr(10) || chr(10) AS frame FROM events"""),
     "terminal_jobs": (terminal_jobs, f"WITH {_SEQ} SELECT job_id, arg_max(event, event_id) AS status FROM e GROUP BY job_id HAVING arg_max(event, event_id) IN ('done', 'error')"),
     "pii_redact": (pii_redact, None),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators import lexical as X
 from lexloom.operators import ranking as K
 from lexloom.operators import retrieval as R
 from lexloom.plans.tables import table
@@ -24,9 +25,14 @@ def query_vector(spark: SparkSession, sf_dir: str, key: int = 0):
     return R.vector(table(spark, sf_dir, "embeddings"), "vec_id", key)
 
 
+def lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The lexical branch, from an inverted index of the corpus that the session builds once."""
+    path = X.index_of(spark, f"corpus of {sf_dir}", lambda: corpus(spark, sf_dir).select("key", "text"))
+    return X.search_index(spark, path, TERMS, k)
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    return R.fuse([R.dense_topk(docs, query_vector(spark, sf_dir)), R.bm25_topk(docs, TERMS)], 10)
+    return R.fuse([R.dense_topk(corpus(spark, sf_dir), query_vector(spark, sf_dir)), lexical(spark, sf_dir, R.PREFETCH)], 10)
 
 
 _TERMS = ", ".join(f"'{t}'" for t in TERMS)
@@ -67,7 +73,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_topk(corpus(spark, sf_dir), TERMS, 10)
+    return lexical(spark, sf_dir, 10)
 
 
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +95,9 @@ def any_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of eight query vectors against the collection: an array of queries beside every row, so the scan happens once."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = [(r["vec_id"], list(map(float, r["embedding"]))) for r in vectors.where("vec_id < 8").orderBy("vec_id").collect()]
-    scores = F.array(*[F.struct(F.lit(i).alias("query_id"), R.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in v])).alias("score")) for i, v in asked])
-    rows = vectors.select("vec_id", F.explode(scores).alias("s")).select("s.query_id", F.col("vec_id").alias("key"), "s.score")
-    best = rows.groupBy("query_id").agg(F.max(F.struct("score", F.negative("key").alias("minus"))).alias("top"))
-    return best.join(rows.groupBy("query_id").agg(F.count_if(F.col("score") > 0.5).alias("close")), "query_id").select("query_id", F.negative("top.minus").alias("key"), F.col("top.score").alias("score"), "close")
+    rows = R.scored_against(vectors, vectors.where("vec_id < 8"), "vec_id")
+    best = rows.groupBy("query_id").agg(F.max(F.struct("score", F.negative("key").alias("minus"))).alias("top"), F.count_if(F.col("score") > 0.5).alias("close"))
+    return best.select("query_id", F.negative("top.minus").alias("key"), F.col("top.score").alias("score"), "close")
 
 
 def edition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +194,19 @@ def authority_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.weigh_tie(pool, 0.05).select("ord", "citation", "score")
 
 
+#: One comparison a step: neighbours are swapped, pass after pass, until a pass swaps none.
+_TIE = _ROUTED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+start AS (SELECT CASE WHEN source = 'case' THEN 'case' ELSE 'statutory' END AS kind, list({'c': citation, 's': score, 'l': lvl} ORDER BY score DESC, citation) AS r, list(score ORDER BY score DESC, citation) AS given FROM merged GROUP BY 1),
+run AS (
+  SELECT kind, r, given, 1 AS i, FALSE AS moved, FALSE AS done FROM start
+  UNION ALL
+  SELECT kind, CASE WHEN sw THEN r[: i - 1] || [r[i + 1], r[i]] || r[i + 2 :] ELSE r END, given, CASE WHEN i + 1 >= len(r) THEN 1 ELSE i + 1 END,
+         CASE WHEN i + 1 >= len(r) THEN FALSE ELSE moved OR sw END, i + 1 >= len(r) AND NOT (moved OR sw)
+  FROM (SELECT *, i < len(r) AND coalesce(r[i].s - r[i + 1].s < 0.05 AND r[i + 1].l > r[i].l, FALSE) AS sw FROM run WHERE NOT done)),
+placed AS (SELECT unnest(r).c AS citation, unnest(given) AS score FROM run WHERE done)
+SELECT row_number() OVER (ORDER BY score DESC, citation) AS ord, citation, score FROM placed"""
+
+
 def slot_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _routed(spark, sf_dir)
     pinned = hits.where("sq = 0 and rank = 8")
@@ -275,7 +292,7 @@ QUERIES = {
                              row_number() OVER (PARTITION BY question ORDER BY score DESC, citation) AS op FROM merged)
         SELECT a.np AS ord, a.citation, b.score FROM pos a JOIN pos b ON a.question = b.question AND a.np = b.op""",
     ),
-    "authority_tie": (authority_tie, None),
+    "authority_tie": (authority_tie, _TIE),
     "slot_allocation": (slot_allocation, _SLOTS),
     "pooled_dedupe": (pooled_dedupe, _POOLED),
     "sibling_sections": (sibling_sections, _SIBLINGS),

@@ -12,7 +12,7 @@ from lexloom.sources import uploads as U
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as candidates of forty searches: made-up scores, four kinds of source."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 2000")
+    d = table(spark, sf_dir, "documents")
     texts = F.explode(F.array(*[F.struct(F.lit(f"q{i}").alias("question"), F.lit(t).alias("text")) for i in range(8) for t in (f"q{i}", f"s{i}")])).alias("t")
     source = F.element_at(F.array(*[F.lit(s) for s in ("usc", "ecfr", "case", "irs_pub", "client")]), (F.col("doc_id") % 5 + 1).cast("int"))
     base = d.select("doc_id", "n_chars", source.alias("source"), texts)
@@ -32,7 +32,7 @@ def routed_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORED = """
-src AS (SELECT doc_id, n_chars, (['usc', 'ecfr', 'case', 'irs_pub', 'client'])[(doc_id % 5 + 1)::INT] AS source FROM documents WHERE doc_id < 2000),
+src AS (SELECT doc_id, n_chars, (['usc', 'ecfr', 'case', 'irs_pub', 'client'])[(doc_id % 5 + 1)::INT] AS source FROM documents),
 sc AS (SELECT 'q' || i AS question, p || i AS text, 'k' || doc_id AS key, 'c' || (doc_id % 400) AS citation, 's' || (doc_id % 90) AS section, source,
               round((n_chars * (CASE WHEN p = 's' THEN 31 ELSE 17 END + i) + doc_id * 7919) % 10007 / 10007::DOUBLE, 6) AS score
        FROM src, (SELECT unnest(range(8)) AS i), (SELECT unnest(['q', 's']) AS p)),

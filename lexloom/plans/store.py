@@ -140,13 +140,13 @@ def _treatments(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit(None).cast("string")
     for a, b in KINDS.items():
         kind = F.when(F.col("event_type") == a, b).otherwise(kind)
-    events = e.where("event_id % 10 < 2").select(F.concat(F.lit("o"), F.col("user_id")).alias("citation"), kind.alias("kind"), F.concat(F.lit("b"), F.col("event_id") % 7).alias("by_citation"), F.col("ts").alias("checked_at"))
+    events = e.select(F.concat(F.lit("o"), F.col("user_id")).alias("citation"), kind.alias("kind"), F.concat(F.lit("b"), F.col("event_id") % 7).alias("by_citation"), F.col("ts").alias("checked_at"))
     return G.resolve(events)
 
 
 _KIND = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items()) + " END"
 _RESOLVED = f"""
-ev AS (SELECT 'o' || user_id AS citation, {_KIND} AS kind, 'b' || (event_id % 7) AS by_citation, ts AS checked_at FROM events WHERE event_id % 10 < 2),
+ev AS (SELECT 'o' || user_id AS citation, {_KIND} AS kind, 'b' || (event_id % 7) AS by_citation, ts AS checked_at FROM events),
 res AS (SELECT citation, by_citation, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'unknown' END AS kind, max(checked_at) AS checked_at FROM ev GROUP BY citation, by_citation)"""
 
 
@@ -157,7 +157,7 @@ def treatment_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def treatment_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _treatments(spark, sf_dir).where("kind <> 'unknown' or citation < 'o5'").withColumn("source", F.when(F.col("by_citation") < "b3", "corpus").when(F.col("by_citation") == "b6", "manual").otherwise("courtlistener"))
     t = t.where("source <> 'manual' or citation like '%3'")
-    opinions = table(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.concat(F.lit("o"), F.col("c_custkey")).alias("citation"))
+    opinions = table(spark, sf_dir, "customer").select(F.concat(F.lit("o"), F.col("c_custkey")).alias("citation"))
     return G.flags(opinions, t, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
 
 
@@ -173,7 +173,7 @@ s AS (SELECT *, CASE WHEN man IS NOT NULL THEN split_part(man, '|', 1)
 f AS (SELECT u.citation, arg_min(by_citation, (source <> 'courtlistener', by_citation)) AS by_first FROM u JOIN s ON u.citation = s.citation AND u.kind = s.status GROUP BY u.citation)
 SELECT o.citation, coalesce(status, 'unknown') AS status, coalesce(split_part(man, '|', 2), by_first, '') AS by, checked AS checked_at,
        CASE WHEN man IS NOT NULL THEN FALSE ELSE coalesce(checked < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY, TRUE) END AS stale
-FROM (SELECT 'o' || c_custkey AS citation FROM customer WHERE c_custkey <= 400) o LEFT JOIN s ON o.citation = s.citation LEFT JOIN f ON o.citation = f.citation"""
+FROM (SELECT 'o' || c_custkey AS citation FROM customer) o LEFT JOIN s ON o.citation = s.citation LEFT JOIN f ON o.citation = f.citation"""
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

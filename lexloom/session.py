@@ -33,11 +33,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, which only a local master can share."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.applicationId not in _own_folder:
         _own_folder[sc.applicationId] = tempfile.mkdtemp(prefix="lexloom-shared-")
         sc.setCheckpointDir(_own_folder[sc.applicationId])

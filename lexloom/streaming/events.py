@@ -62,11 +62,13 @@ def admitted(requests: DataFrame, per_tenant: int = PER_TENANT, overall: int = O
 
     A request over its tenant's quota does not count against everyone's.
     """
-    day = F.to_date("at")
     own = F.row_number().over(Window.partitionBy("tenant", "day").orderBy("at", "id"))
-    df = requests.withColumn("day", day).withColumn("nth", own).withColumn("within", F.col("nth") <= per_tenant)
-    every = F.sum(F.col("within").cast("int")).over(Window.partitionBy("day").orderBy("at", "id"))
-    return df.withColumn("ok", F.col("within") & (every <= overall)).select("id", "tenant", "day", "nth", "ok")
+    df = requests.withColumn("day", F.to_date("at")).withColumn("nth", own).withColumn("within", F.col("nth") <= per_tenant)
+    # only requests within their tenant's quota count; of a day's no task hands on more than the first that are let in
+    first = Window.partitionBy("day").orderBy("at", "id")
+    let_in = df.where("within").select("day", "at", "id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= overall)
+    last = let_in.groupBy("day").agg(F.max(F.struct("at", "id")).alias("_last"))
+    return df.join(last, "day", "left").withColumn("ok", F.col("within") & F.coalesce(F.struct("at", "id") <= F.col("_last"), F.lit(False))).select("id", "tenant", "day", "nth", "ok")
 
 
 def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
