@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import answers, claims, evaluation, events, law, parts, retrieval, routing, store, text
+from lexloom.plans import answers, claims, composed, evaluation, events, law, parts, retrieval, routing, store, text
 
-MODULES = [retrieval, routing, store, text, evaluation, answers, claims, events, law, parts]
+MODULES = [retrieval, routing, store, text, evaluation, answers, claims, events, law, parts, composed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

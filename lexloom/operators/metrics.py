@@ -86,22 +86,49 @@ def negative_f1(supported: Column, judge: Column) -> list[Column]:
     ]
 
 
-def threshold_search(pairs: DataFrame) -> DataFrame:
-    """threshold, f1 that is best for pairs(judge, score), ties to the lower; scores are compared with 3-digit thresholds.
+def threshold_search(pairs: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """threshold, f1 that is best for pairs(judge, score) of each group, ties to the lower; scores are compared with 3-digit thresholds.
 
     Scores are counted by thousandths first, so running sums over that many rows replace a grid times all pairs.
     """
+    by = groups or []
     # a score reaches thresholds of up to floor(1000 score) thousandths
-    binned = pairs.select("judge", F.floor(F.round(F.col("score") * 1000, 6)).cast("long").alias("at"), F.round("score", 3).alias("t"))
-    grid = binned.select(F.round(F.col("t") * 1000).cast("long").alias("at")).distinct().union(binned.sparkSession.createDataFrame([(500,)], "at long")).distinct()
-    counts = binned.groupBy("at").agg(F.count_if("judge").alias("good"), F.count_if(~F.col("judge")).alias("bad"))
-    rows = grid.select("at", F.lit(0).alias("good"), F.lit(0).alias("bad"), F.lit(1).alias("mark")).unionByName(counts.withColumn("mark", F.lit(0)))
-    below = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    binned = pairs.select(*by, "judge", F.floor(F.round(F.col("score") * 1000, 6)).cast("long").alias("at"), F.round("score", 3).alias("t"))
+    own = F.explode(F.array(F.round(F.col("t") * 1000).cast("long"), F.lit(500).cast("long")))
+    grid = binned.select(*by, own.alias("at")).distinct()
+    counts = binned.groupBy(*by, "at").agg(F.count_if("judge").alias("good"), F.count_if(~F.col("judge")).alias("bad"))
+    rows = grid.select(*by, "at", F.lit(0).alias("good"), F.lit(0).alias("bad"), F.lit(1).alias("mark")).unionByName(counts.withColumn("mark", F.lit(0)))
+    ordered = Window.partitionBy(*by).orderBy("at")
+    below = ordered.rangeBetween(Window.unboundedPreceding, -1)
     sums = rows.withColumn("fp", F.coalesce(F.sum("good").over(below), F.lit(0))).withColumn("tp", F.coalesce(F.sum("bad").over(below), F.lit(0)))
-    sums = sums.withColumn("all_bad", F.sum("bad").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("mark = 1")
+    sums = sums.withColumn("all_bad", F.sum("bad").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("mark = 1")
     p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("all_bad"))
     f1 = F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 9)
-    return sums.select((F.col("at") / 1000).alias("threshold"), f1.alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
+    best = sums.select(*by, F.struct(f1.alias("f1"), F.negative("at").alias("minus")).alias("x")).groupBy(*by).agg(F.max("x").alias("x")).where("x is not null")
+    return best.select(*by, (F.negative("x.minus") / 1000).alias("threshold"), "x.f1")
+
+
+def verifier_report(pairs: DataFrame, groups: list[str]) -> DataFrame:
+    """For each group of pairs(half, judge, score), halves tune and report: what the judge supports, f1 of accepting all, the thresholds
+    fitted on either half and f1 on the other, their mean, and the f1 of fitting and scoring on everything."""
+    fitted = threshold_search(pairs, [*groups, "half"]).groupBy(*groups)
+    fitted = fitted.agg(F.max(F.when(F.col("half") == "tune", F.col("threshold"))).alias("threshold"), F.max(F.when(F.col("half") == "report", F.col("threshold"))).alias("other_way"))
+    whole = threshold_search(pairs, groups).withColumnRenamed("f1", "ceiling").drop("threshold")
+
+    def f1(half: str, at: str) -> Column:
+        inside, call = F.col("half") == half, F.col("score") >= F.col(at)
+        tp, off = F.count_if(inside & ~F.col("judge") & ~call), F.count_if(inside & (F.col("judge") != call))
+        return F.round(_ratio(2.0 * tp, 2 * tp + off), 9)
+
+    good = F.count_if("judge")
+    out = pairs.join(fitted, groups).groupBy(*groups, "threshold", "other_way").agg(
+        F.count("*").alias("judged"),
+        F.round(good / F.count("*"), 9).alias("supported"),
+        F.round(2 * good / (good + F.count("*")), 9).alias("accept_all_f1"),
+        f1("report", "threshold").alias("report_f1"),
+        f1("tune", "other_way").alias("tune_f1"),
+    )
+    return out.join(whole, groups).withColumn("held_out_f1", F.round((F.col("report_f1") + F.col("tune_f1")) / 2, 9))
 
 
 def suppression(answers: DataFrame, pairs: DataFrame) -> DataFrame:

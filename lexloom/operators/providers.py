@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import ship
+from lexloom.session import materialise, ship
 
 #: name -> a function that makes an embedder; made once in each task, it takes a batch of texts and gives a matrix.
 EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {}
-BATCH = 16
+#: name -> a function that makes a chat model; made once in each task, it takes (system, prompt, schema) of a batch and gives
+#: a reply for each, null where it has none. What it raises is tried again.
+CHATS: dict[str, Callable[[], Callable[[list[tuple[str, str, str]]], list[str | None]]]] = {}
+BATCH, ATTEMPTS, WAIT = 16, 3, 5.0
 
 
 def register(name: str):
@@ -25,6 +29,14 @@ def register(name: str):
     return put
 
 
+def chat(name: str):
+    def put(make):
+        CHATS[name] = make
+        return make
+
+    return put
+
+
 @register("hashed")
 def hashed(dim: int = 64):
     """Signed hashes of words: deterministic, for tests and as an example."""
@@ -71,3 +83,29 @@ def lexical_score(query: Column, text: Column) -> Column:
     q = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0)))
     t = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     return F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)), 9)
+
+
+def persistently(call: Callable, attempts: int = ATTEMPTS, wait: float = WAIT):
+    """What a call gives; an error is raised after so many attempts, with a longer wait after each."""
+    for n in range(1, attempts):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001
+            time.sleep(wait * n)
+    return call()
+
+
+def replied(asked: DataFrame, provider: str, batch: int = BATCH, wait: float = WAIT) -> DataFrame:
+    """asked(system, prompt, schema, ...) with the reply of a chat model in place of these three, written so that nothing is asked twice."""
+    ship(asked.sparkSession)
+    make = CHATS[provider]
+
+    @F.pandas_udf("string")
+    def run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ask = make()
+        for columns in it:
+            rows = list(zip(*columns, strict=True))
+            cuts = [rows[at : at + batch] for at in range(0, len(rows), batch)]
+            yield pd.Series([r for cut in cuts for r in persistently(lambda: ask(cut), wait=wait)], dtype=object)  # noqa: B023
+
+    return materialise(asked.withColumn("reply", run("system", "prompt", "schema")).drop("system", "prompt", "schema"), "replies")

@@ -80,3 +80,8 @@ def client_hits(asked: DataFrame, scored: DataFrame, k: int = 3) -> DataFrame:
 def sufficient(parts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """parts(question, sq) with whether they are kept: a part without a verdict is."""
     return parts.join(verdicts, ["question", "sq"], "left").withColumn("keep", F.coalesce("sufficient", F.lit(True))).drop("sufficient")
+
+
+def kept(hits: DataFrame, shown: DataFrame) -> DataFrame:
+    """Each sub-query's hits whose citations are among those shown for the question."""
+    return hits.join(shown.select("question", "citation").distinct(), ["question", "citation"], "left_semi")

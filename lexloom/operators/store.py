@@ -5,11 +5,17 @@ Tables are DataFrames; a new state is written to a new directory, since plain pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns that an upsert never changes.
 FIXED = ("source", "citation", "part", "section")
+#: A stored chunk; the last four columns came later than the others.
+CHUNK = (
+    "key string, source string, citation string, part int, section string, heading string, text string, tokens int, cita string, as_of date, fetched_at timestamp_ntz, excluded string, "
+    "source_revision string, effective struct<year:int,rule:string,date:string,retroactive:boolean,amendment:string>, recorded_at timestamp_ntz, authority struct<type:string,status:string,level:int>"
+)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -99,3 +105,29 @@ def count_rows(df: DataFrame, source: str | None = None, indexable_only: bool =
     if source is not None:
         df = df.where(F.col("source") == source)
     return (df.where(F.col("excluded").isNull()) if indexable_only else df).count()
+
+
+def upgraded(df: DataFrame, schema: str = CHUNK) -> DataFrame:
+    """df in the columns of schema: what it lacks is null, but rows that were never recorded count as recorded when they were fetched."""
+    held = set(df.columns)
+    out = df.select(*[(F.col(f.name) if f.name in held else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+    return out if "recorded_at" in held or "fetched_at" not in held else out.withColumn("recorded_at", F.col("fetched_at"))
+
+
+def write_layout(df: DataFrame, path: str, by: str) -> None:
+    """A folder for each value of a column, so that filters on it read their folders alone; each task writes the values that it has."""
+    df.write.partitionBy(by).parquet(path)
+
+
+def appended(spark: SparkSession, path: str, rows: DataFrame, key: str, make) -> DataFrame:
+    """All results under path after make(rows) is appended for the rows whose key has none yet: what a broken run has saved is not made again."""
+    done = spark.read.parquet(path)
+    make(rows.join(done.select(key), key, "left_anti")).select(*done.columns).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def reusable(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """asked(question, run, prompt) with answer: cached under the question and run, null where that was made from another prompt."""
+    held = cache.select("question", "run", F.col("prompt").alias("_was"), F.col("answer").alias("_held"))
+    both = asked.join(held, ["question", "run"], "left")
+    return both.withColumn("answer", F.when(F.md5(F.col("prompt").cast("binary")) == F.col("_was"), F.col("_held"))).drop("_was", "_held")

@@ -35,6 +35,12 @@ def latest_snapshot(spark: SparkSession, path: str, title: int = 26) -> DataFram
     return titles.select(F.explode("titles").alias("t")).where(F.col("t.number") == title).select("t.up_to_date_as_of")
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A saved selection of opinions: one JSON array in a file."""
+    shape = "citation string, caseCaption string, filingDate string, documentTitle string, docketNumber string, docketEntryId string, topics array<string>"
+    return spark.read.schema(shape).json(path, multiLine=True).where("citation is not null")
+
+
 def questions(spark: SparkSession, path: str, phases: list[str]) -> DataFrame:
     """A question set: rows that are scorable, or scored from one of the phases; gold as groups of interchangeable citations."""
     raw = spark.read.schema("id string, category string, style string, question string, scorable boolean, scored_from string, gold string").json(path)
