@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import exact_dedup, mixing, near_dedup, pii, quality, secret_scan, sentence_pieces, token_counts, token_store, topk
+from lexloom.llm import centroids, exact_dedup, mixing, near_dedup, pii, quality, runs, secret_scan, sentence_pieces, token_counts, token_store, topk, vector_dedup
 from lexloom.session import new_path
 
 
@@ -67,6 +68,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.build_index(docs), asked, k=10)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_docs(spark, sf_dir), endings=True, texts=False)
+    best = ("start", "length", "period")
+    exponent = F.expr("1000 * length div period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", *best, exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_dedup, op4_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_token_store, op9_sentence_pieces, op10_topk, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_dedup, op4_exact_dedup, op5_mixing, op6_pii, op7_secrets, op8_token_store, op9_sentence_pieces, op10_topk, op11_runs, op12_centroids, op13_vector_dedup, pipeline)}
 
 
 _OP4 = r"""
@@ -143,8 +159,44 @@ SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10
 """
 
 
+def _op12(rounds: int = 5, k: int = 40) -> str:
+    """SQL of the clustering, a pair of tables for each round."""
+    near = "(SELECT vec_id, vec, j AS cluster, d AS distance FROM (SELECT vec_id, vec, j, list_sum(list_transform(list_zip(vec, c), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)"
+    parts = [
+        "kept AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS j, vec AS c FROM kept QUALIFY j < {k})",
+    ]
+    for i in range(rounds):
+        mean = "CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END"
+        parts += [
+            f"a{i} AS MATERIALIZED {near.format(i=i)}",
+            f"m{i} AS (SELECT cluster, list({mean} ORDER BY place)::BIGINT[] AS c FROM (SELECT cluster, place, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(vec) AS x, generate_subscripts(vec, 1) AS place FROM a{i}) GROUP BY cluster, place) GROUP BY cluster)",
+            f"c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON m.cluster = o.j)",
+        ]
+    parts.append(f"last AS {near.format(i=rounds)}")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} ON j = cluster
+"""
+
+
+_OP13 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS x, len(embedding) AS d FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op4_exact_dedup": _OP4, "op5_mixing": _OP5, "op10_topk": _OP10, **whole}
+    return {"op4_exact_dedup": _OP4, "op5_mixing": _OP5, "op10_topk": _OP10, "op12_centroids": _op12(), "op13_vector_dedup": _OP13, **whole}
