@@ -161,9 +161,9 @@ SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10
 
 def _op12(rounds: int = 5, k: int = 40) -> str:
     """SQL of the clustering, a pair of tables for each round."""
-    near = "(SELECT vec_id, vec, j AS cluster, d AS distance FROM (SELECT vec_id, vec, j, list_sum(list_transform(list_zip(vec, c), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)"
+    near = "(SELECT vec_id, vec, j AS cluster, d AS distance FROM (SELECT vec_id, vec, j, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(vec, c)])::BIGINT AS d FROM kept, c{i}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)"
     parts = [
-        "kept AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        "kept AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS vec FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
         f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS j, vec AS c FROM kept QUALIFY j < {k})",
     ]
     for i in range(rounds):
@@ -184,8 +184,8 @@ FROM last JOIN c{rounds} ON j = cluster
 
 _OP13 = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS x, len(embedding) AS d FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, len(embedding) AS d FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
