@@ -95,8 +95,13 @@ def persistently(call: Callable, attempts: int = ATTEMPTS, wait: float = WAIT):
     return call()
 
 
-def replied(asked: DataFrame, provider: str, batch: int = BATCH, wait: float = WAIT) -> DataFrame:
-    """asked(system, prompt, schema, ...) with the reply of a chat model in place of these three, written so that nothing is asked twice."""
+def replied(asked: DataFrame, provider: str | DataFrame, batch: int = BATCH, wait: float = WAIT) -> DataFrame:
+    """asked(answer, system, prompt, schema, ...) with the reply of a chat model in place of these last three, written so that nothing is asked twice.
+
+    A table (answer, system, reply) in place of a provider's name gives recorded replies; what it lacks is null.
+    """
+    if isinstance(provider, DataFrame):
+        return asked.join(provider.select("answer", "system", "reply"), ["answer", "system"], "left").drop("system", "prompt", "schema")
     ship(asked.sparkSession)
     make = CHATS[provider]
 

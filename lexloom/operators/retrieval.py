@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from lexloom.session import ship
 
 #: Rows that each branch hands to fusion, and the constant of fusion.
 PREFETCH, RRF = 50, 60
 K1, B = 1.2, 0.75
+#: Questions that are broadcast together, and vectors that are multiplied with them at once.
+SEARCHES, ROWS = 4096, 2048
 
 
 def source_filter(df: DataFrame, sources: str | list[str] | tuple[str, ...] | None, column: str = "source") -> DataFrame:
@@ -48,11 +59,125 @@ def vector(df: DataFrame, key: str, value: int | str, column: str = "embedding")
     return F.array(*[F.lit(float(x)) for x in row[0]])
 
 
-def scored_against(df: DataFrame, asked: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """query_id, key, score of every row with every vector of asked, a few queries: their vectors are literals beside each row."""
-    vectors = [(r[key], list(map(float, r[column]))) for r in asked.select(key, column).orderBy(key).collect()]
-    scores = F.array(*[F.struct(F.lit(i).alias("query_id"), cosine(F.col(column), F.array(*[F.lit(x) for x in v])).alias("score")) for i, v in vectors])
-    return df.select(F.col(key).alias("key"), F.explode(scores).alias("s")).select("s.query_id", "key", "s.score")
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest of each row, equal ones by column, in that order."""
+    n = scores.shape[1]
+    if n > k:
+        limit = np.partition(scores, n - k, axis=1)[:, n - k]
+        row, column = np.nonzero(scores >= limit[:, None])
+    else:
+        row, column = np.indices(scores.shape).reshape(2, -1)
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep]
+
+
+def _unit(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that are whole vectors of dims numbers with a direction, and these at length 1."""
+    sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), -1, np.diff(column.offsets.to_numpy()))
+    ends = np.cumsum(np.maximum(sizes, 0))
+    values = np.asarray(column.flatten().cast(pa.float64()).fill_null(float("nan")))
+    rows = np.flatnonzero(sizes == dims)
+    held = values[(ends[rows] - dims)[:, None] + np.arange(dims)] if len(rows) else np.zeros((0, dims))
+    norm = np.sqrt((held * held).sum(axis=1))
+    good = np.isfinite(norm) & (norm > 0)
+    return rows[good], held[good] / norm[good, None]
+
+
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """The rows of asked that have a vector, SEARCHES of them at a time: what the driver and a broadcast hold is bounded."""
+    held: list = []
+    for r in asked.where(F.col("embedding").isNotNull()).toLocalIterator():
+        held.append(r)
+        if len(held) == SEARCHES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def dense_many(corpus: DataFrame, asked: DataFrame, k: int = PREFETCH, close: float | None = None) -> DataFrame:
+    """search, key, score, rank of the k nearest by exact cosine for each of asked(search, embedding) in corpus(key, embedding).
+
+    asked may name the sources and sections, arrays, that it searches; corpus then has source and section. A task multiplies its
+    vectors with a block of questions, which is broadcast, and hands on the best k of each question alone. A question without a vector finds
+    nothing. With close, the column of that name counts the vectors of a cosine over close.
+    """
+    spark = corpus.sparkSession
+    ship(spark)
+    tags = [c for c in ("source", "section") if c in corpus.columns]
+    kinds = {"search": asked.schema["search"].dataType, "key": corpus.schema["key"].dataType}
+    schema = StructType([StructField("search", kinds["search"]), StructField("key", kinds["key"]), StructField("score", DoubleType()), StructField("close", LongType())])
+    names = [c for c in ("sources", "sections") if c in asked.columns]
+    df, out = corpus.select("key", "embedding", *tags), None
+    for block in _blocks(asked.select("search", "embedding", *names)):
+        by: dict[int, list] = {}
+        for r in block:
+            by.setdefault(len(r["embedding"]), []).append(r)
+        for dims, rows in by.items():
+            wanted = [(r["search"], *[tuple(r[c]) if c in names and r[c] else None for c in ("sources", "sections")]) for r in rows]
+            held = spark.sparkContext.broadcast((wanted, np.array([list(map(float, r["embedding"])) for r in rows])))
+            one = df.mapInArrow(_nearest(held, dims, k, close, tags, schema), schema)
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    best = out.where(F.col("key").isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy("search").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
+    if close is None:
+        return best.drop("close")
+    counts = out.where(F.col("close").isNotNull()).groupBy("search").agg(F.sum("close").alias("close"))
+    return best.drop("close").join(counts, "search")
+
+
+def _nearest(held, dims: int, k: int, close: float | None, tags: list[str], schema: StructType):
+    """Over the batches of a task: the best k of each question, and how many are close."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, vectors = held.value
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
+        vectors = vectors / np.where(norm > 0, norm, 1)[:, None]
+        able = norm > 0
+        filters: dict[tuple, list[int]] = {}
+        for i, (_, sources, sections) in enumerate(wanted):
+            filters.setdefault((sources, sections), []).append(i)
+        kinds = to_arrow_schema(schema)
+        search, keys, scores = np.zeros(0, np.int64), None, np.zeros(0)
+        near = np.zeros(len(wanted), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                b = b.take(pc.array_sort_indices(b.column(0)))
+                rows, x = _unit(b.column(1), dims)
+                if not len(rows):
+                    continue
+                s = np.round(vectors @ x.T, 9)
+                s[~able] = -np.inf
+                for (sources, sections), of in filters.items():
+                    seen = np.ones(len(rows), bool)
+                    for c, allowed in (("source", sources), ("section", sections)):
+                        if allowed is not None:
+                            seen &= pc.is_in(b.column(2 + tags.index(c)), pa.array(allowed)).to_numpy(zero_copy_only=False)[rows]
+                    if not seen.all():
+                        s[np.ix_(of, np.flatnonzero(~seen))] = -np.inf
+                if close is not None:
+                    near += (s > close).sum(axis=1)
+                row, column = best_of(s, k)
+                some = s[row, column] > -np.inf
+                row, column = row[some], column[some]
+                found = b.column(0).take(pa.array(rows[column]))
+                search, scores = np.concatenate([search, row]), np.concatenate([scores, s[row, column]])
+                keys = found if keys is None else pa.concat_arrays([keys, found])
+                place = pc.rank(keys, tiebreaker="dense").to_numpy()
+                order = np.lexsort((place, -scores, search))
+                order = order[np.arange(len(order)) - np.searchsorted(search[order], search[order]) < k]
+                search, scores, keys = search[order], scores[order], keys.take(pa.array(order))
+        names = pa.array([w[0] for w in wanted], kinds.field("search").type)
+        if keys is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(search)), keys, pa.array(scores), pa.nulls(len(search), pa.int64())], schema=kinds)
+        if close is not None:
+            yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), kinds.field("key").type), pa.nulls(len(names), pa.float64()), pa.array(near)], schema=kinds)
+
+    return run
 
 
 def dense_topk(df: DataFrame, query: Column, k: int = PREFETCH, key: str = "key", column: str = "embedding") -> DataFrame:
@@ -84,6 +209,14 @@ def ranked(df: DataFrame, k: int, key: str = "key") -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(key))))
 
 
+def fuse_many(branches: list[DataFrame], constant: int = RRF) -> DataFrame:
+    """search, key, rrf, branches: each search's hits in any branch, by the sum of 1 / (constant + rank)."""
+    both = branches[0].select("search", "key", "rank")
+    for b in branches[1:]:
+        both = both.unionByName(b.select("search", "key", "rank"))
+    return both.groupBy("search", "key").agg(F.round(F.sum(F.lit(1.0) / (F.lit(constant) + F.col("rank"))), 12).alias("rrf"), F.count("*").alias("branches"))
+
+
 def fuse(branches: list[DataFrame], k: int, key: str = "key", constant: int = RRF) -> DataFrame:
     """key, rrf, branches of the k best by the sum of 1 / (constant + rank)."""
     both = branches[0].select(key, "rank")

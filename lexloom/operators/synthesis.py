@@ -82,14 +82,14 @@ def _source(number: str) -> Column:
     return F.concat(F.lit("Source "), number, F.lit(": ["), "citation", F.lit("] ("), "heading", F.lit(")\n"), text)
 
 
-def plan(questions: DataFrame, provider: str, wait: float = WAIT) -> DataFrame:
+def plan(questions: DataFrame, provider: str | DataFrame, wait: float = WAIT) -> DataFrame:
     """answer, sq, kind, query, as_of, fallback: the sub-queries of each question."""
     asked = questions.select("answer", "question", F.lit(PLAN).alias("system"), F.concat(F.lit("Question: "), "question").alias("prompt"), schema_of(PLANNED).alias("schema"))
     read = replied(asked, provider, wait=wait).withColumn("p", A.plan(F.col("reply"), F.col("question")))
     return read.select("answer", "p.as_of", "p.fallback", F.posexplode("p.subqueries").alias("sq", "s")).select("answer", "sq", "s.kind", "s.query", "as_of", "fallback")
 
 
-def write(questions: DataFrame, parts: DataFrame, hits: DataFrame, provider: str, wait: float = WAIT) -> DataFrame:
+def write(questions: DataFrame, parts: DataFrame, hits: DataFrame, provider: str | DataFrame, wait: float = WAIT) -> DataFrame:
     """answer, allowed, reply: what a model writes over the sources of each part."""
     own = A.format_sources(hits.withColumn("answer", F.struct("answer", "part"))).select("answer.answer", "answer.part", "sources")
     headed = F.concat(F.lit("## Part "), F.col("part"), F.lit(": "), F.col("label"), F.lit("\n\n"), F.col("sources"))
@@ -113,7 +113,7 @@ def notes(replies: DataFrame) -> DataFrame:
     return n.select("answer", "idx", F.coalesce("n.part", F.lit(1)).alias("part"), "n.why")
 
 
-def verify(written: DataFrame, hits: DataFrame, questions: DataFrame, provider: str, wait: float = WAIT) -> tuple[DataFrame, DataFrame]:
+def verify(written: DataFrame, hits: DataFrame, questions: DataFrame, provider: str | DataFrame, wait: float = WAIT) -> tuple[DataFrame, DataFrame]:
     """answer, idx, supported, why of each item, no verdict being no support; and the answers whose reply can't be read."""
     listed = written.withColumn("n", _place("idx"))
     prem = A.premises(listed, hits)
@@ -133,7 +133,7 @@ def verify(written: DataFrame, hits: DataFrame, questions: DataFrame, provider:
     return out, read.where("v is null").select("answer")
 
 
-def recite(failed: DataFrame, hits: DataFrame, questions: DataFrame, provider: str, wait: float = WAIT) -> tuple[DataFrame, DataFrame]:
+def recite(failed: DataFrame, hits: DataFrame, questions: DataFrame, provider: str | DataFrame, wait: float = WAIT) -> tuple[DataFrame, DataFrame]:
     """answer, idx, citation: another source that a model names for a failed item; and the answers whose reply can't be read."""
     listed, all_of = failed.withColumn("n", _place("idx")), hits.withColumn("number", _place("ord") + 1)
     sources = all_of.groupBy("answer").agg(_lines("number", _source("number"), "\n\n").alias("sources"))
@@ -148,7 +148,7 @@ def recite(failed: DataFrame, hits: DataFrame, questions: DataFrame, provider: s
     return other.groupBy("answer", "idx").agg(F.max_by("citation", "at").alias("citation")), read.where("r is null").select("answer")
 
 
-def conclude(conclusions: DataFrame, kept: DataFrame, questions: DataFrame, provider: str, wait: float = WAIT) -> tuple[DataFrame, DataFrame]:
+def conclude(conclusions: DataFrame, kept: DataFrame, questions: DataFrame, provider: str | DataFrame, wait: float = WAIT) -> tuple[DataFrame, DataFrame]:
     """answer, conclusion, cites, why: the citations of the items that a conclusion rests on, null if it does not follow; and unread replies."""
     listed = kept.withColumn("n", _place("idx"))
     held = listed.groupBy("answer").agg(_lines("n", F.concat("n", F.lit(". "), "text")).alias("statements"), F.transform(F.array_sort(F.collect_list(F.struct("n", "citations"))), lambda x: x["citations"]).alias("held"))
@@ -162,7 +162,7 @@ def conclude(conclusions: DataFrame, kept: DataFrame, questions: DataFrame, prov
     return read.where("c is not null").select("answer", "conclusion", cites.alias("cites"), why.alias("why")), read.where("c is null").select("answer")
 
 
-def checked(questions: DataFrame, parts: DataFrame, hits: DataFrame, replies: DataFrame, provider: str, unit: str = "sentence", again: bool = True, wait: float = WAIT) -> DataFrame:
+def checked(questions: DataFrame, parts: DataFrame, hits: DataFrame, replies: DataFrame, provider: str | DataFrame, unit: str = "sentence", again: bool = True, wait: float = WAIT) -> DataFrame:
     """answer, text, shown, hidden, concluded of every question.
 
     Items are verified; failed ones get another source, if a model names one, and are verified again. What names law that only a

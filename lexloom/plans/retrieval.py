@@ -15,7 +15,7 @@ TERMS = ["onesen", "inenan", "whou", "heron", "with"]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector: key, embedding, text, lang, source."""
+    """Documents that have a vector, for searches by vector under a filter: key, embedding, text, lang, source."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", "lang", "source", "n_chars")
     return vectors.join(docs, "key")
@@ -25,20 +25,61 @@ def query_vector(spark: SparkSession, sf_dir: str, key: int = 0):
     return R.vector(table(spark, sf_dir, "embeddings"), "vec_id", key)
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a chunk: key, text, and citation, section and source made from its number."""
+    source = F.element_at(F.array(*[F.lit(s) for s in ("usc", "ecfr", "case", "irs_pub", "client")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.concat(F.lit("c"), F.col("doc_id") % 400).alias("citation"), F.concat(F.lit("s"), F.col("doc_id") % 90).alias("section"), source.alias("source"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector, with the source and section of its document where there is one."""
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return held.join(labelled(spark, sf_dir).select("key", "source", "section"), "key", "left")
+
+
+def index(spark: SparkSession, sf_dir: str) -> str:
+    """The inverted index of all documents, which the session builds once for the files as they are."""
+    return X.index_of(spark, [f"{sf_dir}/documents.parquet"], lambda: labelled(spark, sf_dir).select("key", "text", "source", "section"))
+
+
 def lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The lexical branch, from an inverted index of the corpus that the session builds once."""
-    path = X.index_of(spark, f"corpus of {sf_dir}", lambda: corpus(spark, sf_dir).select("key", "text"))
-    return X.search_index(spark, path, TERMS, k)
+    """The lexical branch, over all documents."""
+    return X.search_index(spark, index(spark, sf_dir), TERMS, k)
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.fuse([R.dense_topk(corpus(spark, sf_dir), query_vector(spark, sf_dir)), lexical(spark, sf_dir, R.PREFETCH)], 10)
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return R.fuse([R.dense_topk(held, query_vector(spark, sf_dir)), lexical(spark, sf_dir, R.PREFETCH)], 10)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a question: item, text, terms, and the vector of its number."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text", R.tokens(F.col("text")).alias("terms"))
+    return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding"), "item", "left")
+
+
+def hybrid_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage against all vectors and all documents, fused."""
+    asked = questions(spark, sf_dir).select(F.col("item").alias("search"), "terms", "embedding")
+    fused = R.fuse_many([R.dense_many(vectors(spark, sf_dir), asked), X.search_many(asked, index(spark, sf_dir))])
+    best = K.first_n(fused, ["search"], [F.desc("rrf"), F.asc("key")], 10)
+    return best.select(F.col("search").alias("item"), "key", "rrf", "branches")
+
+
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark passage, the texts that hold its first word nearest to its second or third."""
+    words = R.tokens(F.col("text"))
+    b = table(spark, sf_dir, "benchmark").where(F.size(words) >= 3).select(F.col("item_id").alias("search"), words.alias("w"))
+    asked = b.select("search", F.array(F.array(F.get("w", 0)), F.array(F.get("w", 1), F.get("w", 2))).alias("groups"))
+    return X.search_covers(asked, index(spark, sf_dir), 10).select(F.col("search").alias("item"), "key", "score", "rank")
 
 
 _TERMS = ", ".join(f"'{t}'" for t in TERMS)
 _CORPUS = """
 corpus AS (SELECT vec_id AS key, embedding, label, text, lang, source, n_chars FROM embeddings JOIN documents ON vec_id = doc_id),
-qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"""
+qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+vec AS (SELECT vec_id AS key, embedding FROM embeddings),
+txt AS (SELECT doc_id AS key, text FROM documents)"""
 
 
 def _dense(source: str = "corpus", where: str = "TRUE", k: int = 50, name: str = "dense") -> str:
@@ -65,7 +106,7 @@ def _sparse(source: str = "corpus", k: int = 50, name: str = "sparse") -> str:
 _RRF = """
 fused AS (SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, count(*) AS branches
           FROM (SELECT key, rank FROM dense UNION ALL SELECT key, rank FROM sparse) GROUP BY key ORDER BY rrf DESC, key LIMIT 10)"""
-HYBRID = f"WITH {_CORPUS}, {_dense()}, {_sparse()}, {_RRF} SELECT key, rrf, branches FROM fused"
+HYBRID = f"WITH {_CORPUS}, {_dense('vec')}, {_sparse('txt')}, {_RRF} SELECT key, rrf, branches FROM fused"
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +134,11 @@ def any_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each of eight query vectors against the collection: an array of queries beside every row, so the scan happens once."""
-    vectors = table(spark, sf_dir, "embeddings")
-    rows = R.scored_against(vectors, vectors.where("vec_id < 8"), "vec_id")
-    best = rows.groupBy("query_id").agg(F.max(F.struct("score", F.negative("key").alias("minus"))).alias("top"), F.count_if(F.col("score") > 0.5).alias("close"))
-    return best.select("query_id", F.negative("top.minus").alias("key"), F.col("top.score").alias("score"), "close")
+    """Every twentieth vector as a query against all vectors: the nearest other one, and how many are close."""
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    asked = held.where("key % 20 = 0").withColumnRenamed("key", "search")
+    best = R.dense_many(held, asked, 2, close=0.3).where("key <> search")
+    return K.first_n(best, ["search"], [F.asc("rank")], 1).select(F.col("search").alias("query_id"), "key", "score", "close")
 
 
 def edition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +158,8 @@ def source_filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reattach_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused keys joined to their rows again."""
-    docs = corpus(spark, sf_dir)
-    return hybrid_topk(spark, sf_dir).join(docs.select("key", "source", "lang"), "key").select("key", "source", "lang", "rrf")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "lang")
+    return hybrid_topk(spark, sf_dir).join(docs, "key", "left").select("key", "source", "lang", "rrf")
 
 
 def filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,18 +298,54 @@ f AS (SELECT source AS section, min(rank) AS since FROM dense JOIN corpus ON den
 r AS (SELECT section, key, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM corpus JOIN f ON source = section, qv)
 SELECT section, key, score FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, key) AS n FROM r) WHERE n <= 6"""
 
+def searches_sql(asked: str, name: str = "hy") -> str:
+    """SQL of many hybrid searches: asked names a table (sid, terms, q, srcs, secs); gives {name}(sid, key, rrf, branches) and what it needs."""
+    return f"""
+{name}_doc AS (SELECT doc_id AS key, text, (['usc', 'ecfr', 'case', 'irs_pub', 'client'])[(doc_id % 5 + 1)::INT] AS source, 's' || (doc_id % 90) AS section FROM documents),
+{name}_d AS (SELECT sid, key, row_number() OVER (PARTITION BY sid ORDER BY score DESC, key) AS rank FROM (
+  SELECT sid, v.vec_id AS key, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM {asked} a, embeddings v LEFT JOIN {name}_doc d ON v.vec_id = d.key
+  WHERE q IS NOT NULL AND (srcs IS NULL OR list_contains(srcs, d.source)) AND (secs IS NULL OR list_contains(secs, d.section))) QUALIFY rank <= 50),
+{name}_tok AS (SELECT key, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM {name}_doc),
+{name}_dl AS (SELECT d.key, count(term) AS dl FROM {name}_doc d LEFT JOIN {name}_tok t ON d.key = t.key GROUP BY d.key),
+{name}_st AS (SELECT count(*) AS n, avg(dl) AS mean FROM {name}_dl),
+{name}_tf AS (SELECT key, term, count(*) AS tf FROM {name}_tok GROUP BY key, term),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name}_w AS (SELECT t.key, t.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean)) AS w FROM {name}_tf t JOIN {name}_df f ON t.term = f.term JOIN {name}_dl l ON t.key = l.key, {name}_st),
+{name}_s AS (SELECT sid, key, row_number() OVER (PARTITION BY sid ORDER BY score DESC, key) AS rank FROM (
+  SELECT a.sid, w.key, round(sum(w), 9) AS score FROM (SELECT DISTINCT sid, srcs, secs, unnest(terms) AS term FROM {asked}) a JOIN {name}_w w ON a.term = w.term JOIN {name}_doc d ON d.key = w.key
+  WHERE (srcs IS NULL OR list_contains(srcs, d.source)) AND (secs IS NULL OR list_contains(secs, d.section)) GROUP BY a.sid, w.key) QUALIFY rank <= 50),
+{name} AS (SELECT sid, key, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, count(*) AS branches FROM (SELECT * FROM {name}_d UNION ALL SELECT * FROM {name}_s) GROUP BY sid, key)"""
+
+
+_MANY = f"""WITH asked AS (SELECT item_id AS sid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS terms, embedding::DOUBLE[] AS q, NULL::VARCHAR[] AS srcs, NULL::VARCHAR[] AS secs FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+{searches_sql("asked")}
+SELECT sid AS item, key, rrf, branches FROM hy QUALIFY row_number() OVER (PARTITION BY sid ORDER BY rrf DESC, key) <= 10"""
+
+#: Places of either group's words in each text, and the latest of each group so far, by windows.
+_COVERS = """WITH q AS (SELECT item_id AS item, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 3),
+g AS (SELECT DISTINCT item, grp, term FROM (SELECT item, 0 AS grp, w[1] AS term FROM q UNION ALL SELECT item, 1, w[2] FROM q UNION ALL SELECT item, 1, w[3] FROM q)),
+t AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), 1) AS place FROM documents),
+o AS (SELECT item, key, place, bool_or(grp = 0) AS a, bool_or(grp = 1) AS b FROM g JOIN t ON g.term = t.term GROUP BY item, key, place),
+l AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN a THEN place END) OVER w AS la, max(CASE WHEN b THEN place END) OVER w AS lb FROM o WINDOW w AS (PARTITION BY item, key ORDER BY place)),
+s AS (SELECT *, least(la, lb) AS since, CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN lag(CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN least(la, lb) END) OVER (PARTITION BY item, key ORDER BY place) END AS before FROM l),
+c AS (SELECT s.*, p.n AS first FROM s JOIN l p ON s.item = p.item AND s.key = p.key AND s.since = p.place WHERE s.la IS NOT NULL AND s.lb IS NOT NULL AND (before IS NULL OR since > before)),
+r AS (SELECT item, key, round(sum(0.1::DOUBLE / (1 + (place - since) - (n - first))), 9) AS score FROM c GROUP BY item, key)
+SELECT item, key, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, key) AS rank FROM r QUALIFY rank <= 10"""
+
 QUERIES = {
+    "hybrid_many": (hybrid_many, _MANY),
+    "cover_density_topk": (cover_density, _COVERS),
     "hybrid_topk": (hybrid_topk, HYBRID),
     "dense_topk": (dense_topk, f"WITH {_CORPUS}, {_dense(k=10)} SELECT key, score, rank FROM dense"),
-    "sparse_topk": (sparse_topk, f"WITH {_CORPUS}, {_sparse(k=10)} SELECT key, score, rank FROM sparse"),
+    "sparse_topk": (sparse_topk, f"WITH {_CORPUS}, {_sparse('txt', k=10)} SELECT key, score, rank FROM sparse"),
     "filtered_topk": (filtered_topk, f"WITH {_CORPUS}, {_dense(where='''lang = 'en' AND source IN ('src1', 'src2', 'src3')''', k=10)} SELECT key, score, rank FROM dense"),
     "distance_topk": (distance_topk, f"WITH {_CORPUS} SELECT key, round(1 - round(list_cosine_similarity(embedding::DOUBLE[], q), 9), 9) AS distance FROM corpus, qv ORDER BY distance, key LIMIT 10"),
     "any_term_match": (any_term_match, f"SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), [{_TERMS}])"),
     "exact_scan_all": (
         exact_scan_all,
         """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS key, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
-           FROM embeddings a, embeddings b WHERE a.vec_id < 8)
-           SELECT query_id, arg_min(key, (-score, key)) AS key, max(score) AS score, count(*) FILTER (WHERE score > 0.5) AS close FROM s GROUP BY query_id""",
+           FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+           SELECT query_id, arg_min(key, (-score, key)) FILTER (WHERE key <> query_id) AS key, max(score) FILTER (WHERE key <> query_id) AS score, count(*) FILTER (WHERE score > 0.3) AS close FROM s GROUP BY query_id""",
     ),
     "edition_filter": (edition_filter, "SELECT doc_id, CASE WHEN lang = 'en' THEN (2000 + doc_id % 30)::INT END AS edition FROM documents WHERE lang <> 'en' OR 2000 + doc_id % 30 BETWEEN 2019 AND 2020"),
     "source_filter_any": (
@@ -276,7 +353,7 @@ QUERIES = {
         """SELECT 'none' AS filter, count(*) AS n FROM documents UNION ALL SELECT 'empty', count(*) FROM documents
            UNION ALL SELECT 'one', count(*) FROM documents WHERE source = 'src1' UNION ALL SELECT 'two', count(*) FROM documents WHERE source IN ('src1', 'src2')""",
     ),
-    "rrf_join": (reattach_citation, f"WITH {_CORPUS}, {_dense()}, {_sparse()}, {_RRF} SELECT fused.key, source, lang, rrf FROM fused JOIN corpus ON fused.key = corpus.key"),
+    "rrf_join": (reattach_citation, f"WITH {_CORPUS}, {_dense('vec')}, {_sparse('txt')}, {_RRF} SELECT key, source, lang, rrf FROM fused LEFT JOIN documents ON key = doc_id"),
     "filtered_recall": (
         filtered_recall,
         f"""WITH {_CORPUS}, {_dense()}, {_dense(where="lang = 'en'", k=10, name="exact")},
