@@ -345,7 +345,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     centres = materialise(sums.groupBy("cell").applyInArrow(_centre, "cell long, centre binary"), "centres")
     placed = map_arrow(classes.join(centres, "cell", "left").select("class", "cell", "vec", "centre"), _angles(angle / 2), "class binary, item binary, angle double, centre binary")
     members = materialise(classes.drop("cell").join(placed, "class"), "members")
-    grouped = members.groupBy("item").agg(F.max("angle").alias("angle"), F.sum("rows").alias("rows"), F.first("label").alias("label"), F.first(F.coalesce("centre", "vec")).alias("vec"))
+    grouped = members.groupBy("item").agg(F.max("angle").alias("angle"), F.sum("rows").alias("rows"), F.min("least").alias("least"), F.first("label").alias("label"), F.first(F.coalesce("centre", "vec")).alias("vec"))
     items = materialise(grouped, "items")
 
     # buckets, each item once in each, and what their estimates leave
@@ -371,22 +371,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         met = open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "classes_a", "vecs_a", "rows_a", "classes_b", "vecs_b", "rows_b")
         more = materialise(map_arrow(met, _compared(cosine), "a binary, b binary, class binary, links long"), "compared")
 
-    # links by class: those within its item, those of whole items, those found one by one
+    # links by class: those within its item, those of whole items, those found one by one; components by item
     ways = links.select("a", F.col("b").alias("item")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("item")))
     beyond = ways.join(items.select("item", "rows"), "item").groupBy(F.col("a").alias("item")).agg(F.sum("rows").alias("beyond"))
-    base = items.select("item", F.col("rows").alias("inside")).join(beyond, "item", "left")
-    counts = members.select("class", "item", "least").join(base, "item")
-    n = F.col("inside") - 1 + F.coalesce("beyond", F.lit(0))
-    edges = links
+    edges = links if more is None else links.unionByName(more.select("a", "b").distinct())
+    reached = components(edges.unionByName(_same_id(whole, members))).select(F.col("id").alias("item"), "comp")
+    named = items.select("item", "rows", "least").join(reached, "item", "left").withColumn("comp", F.coalesce("comp", "item"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component"))
+    of = named.join(least, "comp").join(beyond, "item", "left").select("item", "component", (F.col("rows") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    found = members.select("class", "item").join(materialise(of, "named"), "item")
     if more is not None:
-        counts = counts.join(more.groupBy("class").agg(F.sum("links").alias("singly")), "class", "left")
-        n = n + F.coalesce("singly", F.lit(0))
-        edges = links.unionByName(more.select("a", "b").distinct())
-    edges = edges.unionByName(_same_id(whole, members))
-    joined = counts.join(components(edges).select(F.col("id").alias("item"), "comp"), "item", "left")
-    found = materialise(joined.select("class", "least", n.alias("n_links"), F.coalesce("comp", "item").alias("comp")), "found")
-    least = found.groupBy("comp").agg(F.min("least").alias("component"))
-    named = found.join(least, "comp").select("class", "n_links", "component")
+        singly = more.groupBy("class").agg(F.sum("links").alias("singly"))
+        found = found.join(singly, "class", "left").withColumn("n_links", F.col("n_links") + F.coalesce("singly", F.lit(0)))
+    named = found.select("class", "n_links", "component")
     mine = F.when(F.col("vec_id").isNotNull(), F.col("class"))
     out = known.select("vec_id", mine.alias("class")).join(named, "class", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
