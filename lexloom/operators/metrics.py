@@ -39,6 +39,12 @@ def retrieval_metrics(items: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def elapsed(marks: DataFrame) -> DataFrame:
+    """question, ms from the first to the last of marks(question, at)."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return marks.groupBy("question").agg(F.floor((us(F.max("at")) - us(F.min("at"))) / 1000).alias("ms"))
+
+
 def index_percentile(df: DataFrame, groups: list[str], value: str, p: float, shift: int = 0) -> DataFrame:
     """The value at index min(floor(p n), n - 1) + shift of each group in ascending order: never interpolated.
 
@@ -108,6 +114,26 @@ def threshold_search(pairs: DataFrame, groups: list[str] | None = None) -> DataF
     return best.select(*by, (F.negative("x.minus") / 1000).alias("threshold"), "x.f1")
 
 
+def triage_limits(pairs: DataFrame, leak: float = 0.02, loss: float = 0.10) -> DataFrame:
+    """lo, hi fitted on pairs(judge, score): the least threshold of those accepted of whom at most leak are bad, and the greatest of those
+    rejected of whom at most loss are good; 0 and 1.01 where none is. Thresholds are the scores to 3 digits.
+
+    One sorted pass of scores and thresholds by thousandths, as for threshold_search.
+    """
+    binned = pairs.select("judge", F.floor(F.round(F.col("score") * 1000, 6)).cast("long").alias("at"), F.round(F.round("score", 3) * 1000).cast("long").alias("t"))
+    counts = binned.groupBy("at").agg(F.count_if("judge").alias("good"), F.count_if(~F.col("judge")).alias("bad"))
+    rows = binned.select(F.col("t").alias("at")).distinct().select("at", F.lit(0).alias("good"), F.lit(0).alias("bad"), F.lit(1).alias("mark")).unionByName(counts.withColumn("mark", F.lit(0)))
+    ordered = Window.orderBy("at")  # rows of thousandths
+    below, all_ = ordered.rangeBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = rows.select("at", "mark", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in ("good", "bad")], *[F.sum(c).over(all_).alias(f"{c}_all") for c in ("good", "bad")]).where("mark = 1")
+    rejected, accepted_bad = F.col("good_below") + F.col("bad_below"), F.col("bad_all") - F.col("bad_below")
+    accepted = F.col("good_all") + F.col("bad_all") - rejected
+    return sums.agg(
+        F.coalesce(F.min(F.when((accepted > 0) & (accepted_bad <= leak * accepted), F.col("at") / 1000)), F.lit(1.01)).alias("hi"),
+        F.coalesce(F.max(F.when((rejected > 0) & (F.col("good_below") <= loss * rejected), F.col("at") / 1000)), F.lit(0.0)).alias("lo"),
+    )
+
+
 def verifier_report(pairs: DataFrame, groups: list[str]) -> DataFrame:
     """For each group of pairs(half, judge, score), halves tune and report: what the judge supports, f1 of accepting all, the thresholds
     fitted on either half and f1 on the other, their mean, and the f1 of fitting and scoring on everything."""

@@ -101,7 +101,7 @@ def replied(asked: DataFrame, provider: str | DataFrame, batch: int = BATCH, wai
     A table (answer, system, reply) in place of a provider's name gives recorded replies; what it lacks is null.
     """
     if isinstance(provider, DataFrame):
-        return asked.join(provider.select("answer", "system", "reply"), ["answer", "system"], "left").drop("system", "prompt", "schema")
+        return materialise(asked.join(provider.select("answer", "system", "reply"), ["answer", "system"], "left").drop("system", "prompt", "schema"), "replies")
     ship(asked.sparkSession)
     make = CHATS[provider]
 

@@ -24,7 +24,7 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
 def append_new(hits: DataFrame, extra: DataFrame) -> DataFrame:
     """Hits, then extra ones that are not there yet by key, or by citation where the key is empty. Both have ord."""
     both = hits.withColumn("_late", F.lit(0)).unionByName(extra.withColumn("_late", F.lit(1)))
-    both = both.withColumn("_same", F.coalesce(F.nullif(F.col("key"), F.lit("")), F.col("citation")))
+    both = both.withColumn("_same", F.coalesce(F.nullif(F.col("key").cast("string"), F.lit("")), F.col("citation")))
     keys = [c for c in ("question",) if c in hits.columns] + ["_same"]
     return first_by(both, keys, [F.col("_late"), F.col("ord")]).drop("_late", "_same")
 

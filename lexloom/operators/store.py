@@ -101,10 +101,10 @@ def payload(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("excluded").isNull())
 
 
-def count_rows(df: DataFrame, source: str | None = None, indexable_only: bool = False) -> int:
-    if source is not None:
-        df = df.where(F.col("source") == source)
-    return (df.where(F.col("excluded").isNull()) if indexable_only else df).count()
+def counted(source: str | None = None, indexable_only: bool = False) -> Column:
+    """How many chunks a table has, of one source or that an index may hold."""
+    own = F.lit(True) if source is None else F.col("source") == source
+    return F.count_if(own & F.col("excluded").isNull() if indexable_only else own)
 
 
 def upgraded(df: DataFrame, schema: str = CHUNK) -> DataFrame:

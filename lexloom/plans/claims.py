@@ -13,7 +13,7 @@ from lexloom.operators import retrieval as R
 from lexloom.plans.answers import _hits, _sentences
 from lexloom.plans.evaluation import _JUDGED, _judged
 from lexloom.plans.answers import _HITS, _SENTENCES
-from lexloom.plans.retrieval import _CORPUS, _TERMS, _sparse
+from lexloom.plans.retrieval import _CORPUS, _TERMS, TERMS, _sparse, lexical
 from lexloom.plans.tables import table
 from lexloom.session import new_path, ship
 
@@ -74,12 +74,12 @@ SELECT answer, idx, arg_min(citation, (c, ord)) AS citation FROM f GROUP BY answ
 
 def authority_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = _judged(spark, sf_dir)
-    tags = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("question"), F.array(F.concat(F.lit("c"), F.col("vec_id"))).alias("controls"), F.array(F.concat(F.lit("c"), F.col("vec_id")), F.concat(F.lit("c"), F.col("vec_id") + 1)).alias("keep"), (F.col("vec_id") % 2).alias("target"))
+    tags = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.array(F.concat(F.lit("c"), F.col("vec_id"))).alias("controls"), F.array(F.concat(F.lit("c"), F.col("vec_id")), F.concat(F.lit("c"), F.col("vec_id") + 1)).alias("keep"), (F.col("vec_id") % 2).alias("target"))
     return C.authority_facts(tags, items.where("rank > 0 or question % 3 > 0"), items)
 
 
 _FACTS = f"""WITH {_JUDGED}, it AS (SELECT * FROM items WHERE rank > 0 OR question % 3 > 0),
-t AS (SELECT vec_id AS question, vec_id % 2 AS target FROM embeddings WHERE vec_id < 20)
+t AS (SELECT vec_id AS question, vec_id % 2 AS target FROM embeddings WHERE vec_id % 20 = 0)
 SELECT t.question, (SELECT min(rank) + 1 FROM it WHERE it.question = t.question AND label = 'c' || t.question) AS rank,
   coalesce((SELECT min(rank) FROM it WHERE it.question = t.question AND label = 'c' || t.question) < target, FALSE) AS at_target,
   EXISTS (SELECT 1 FROM items WHERE items.question = t.question AND label = 'c' || t.question) AS in_pool,
@@ -126,7 +126,7 @@ SELECT citing, cited FROM e WHERE cited <> citing AND NOT (starts_with(citing, c
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source mirrored into an index that holds some of its rows as they are, some with old texts, and some that are gone."""
-    d = table(spark, sf_dir, "documents").where("source in ('src1', 'src2')")
+    d = table(spark, sf_dir, "documents")
     chunks = d.select(F.concat(F.lit("k"), "doc_id").alias("key"), "source", "text", F.when(F.col("doc_id") % 9 == 0, "toc").alias("excluded"))
     old = d.where("doc_id % 3 > 0").select(F.concat(F.lit("k"), F.col("doc_id") + F.when(F.col("doc_id") % 4 == 0, 100000).otherwise(0)).alias("key"), "source", F.md5(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("text")).cast("binary")).alias("digest"))
     index = old.withColumn("embedding", F.array(F.lit(0.0)).cast("array<float>"))
@@ -134,7 +134,7 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "source", "digest", (F.size("embedding") > 1).alias("fresh"))
 
 
-_SYNC = """WITH d AS (SELECT * FROM documents WHERE source IN ('src1', 'src2')),
+_SYNC = """WITH d AS (SELECT * FROM documents),
 o AS (SELECT 'k' || (doc_id + CASE WHEN doc_id % 4 = 0 THEN 100000 ELSE 0 END) AS key, source, md5(CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE text END) AS digest FROM d WHERE doc_id % 3 > 0),
 l AS (SELECT 'k' || doc_id AS key, source, md5(text) AS digest FROM d WHERE source = 'src1' AND doc_id % 9 <> 0)
 SELECT key, source, digest, FALSE AS fresh FROM o WHERE source <> 'src1' UNION ALL
@@ -154,11 +154,9 @@ def authority_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten candidates ordered anew by a provider's scores."""
-    from lexloom.plans.retrieval import TERMS, corpus
-
-    docs = corpus(spark, sf_dir)
-    pool = R.bm25_topk(docs, TERMS, 25)
-    scores = docs.select("key", P.lexical_score(F.lit(" ".join(TERMS)), F.col("text")).alias("score"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    pool = lexical(spark, sf_dir, 25)
+    scores = docs.join(F.broadcast(pool.select("key")), "key").select("key", P.lexical_score(F.lit(" ".join(TERMS)), F.col("text")).alias("score"))
     return R.rerank(pool, scores, 10).select("key", "score", "rank")
 
 
@@ -190,7 +188,7 @@ QUERIES = {
     ),
     "rerank_provider": (
         rerank_provider,
-        f"""WITH {_CORPUS}, {_sparse(k=25)}, t AS (SELECT corpus.key, round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), [{_TERMS}])) / 5::DOUBLE, 9) AS score FROM sparse JOIN corpus ON sparse.key = corpus.key)
+        f"""WITH {_CORPUS}, {_sparse('txt', k=25)}, t AS (SELECT txt.key, round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), [{_TERMS}])) / 5::DOUBLE, 9) AS score FROM sparse JOIN txt ON sparse.key = txt.key)
         SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS rank FROM t ORDER BY score DESC, key LIMIT 10""",
     ),
     "snapshot_roundtrip": (snapshot_roundtrip, "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'embeddings', count(*) FROM embeddings"),

@@ -8,28 +8,25 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import metrics as M
 from lexloom.operators import retrieval as R
-from lexloom.operators.ranking import first_n
 from lexloom.plans.tables import table
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Ten nearest vectors of twenty queries, and gold: groups of vectors with the same label."""
-    from pyspark.sql import Window
-
+    """Ten nearest vectors of every twentieth one, and gold: groups of vectors with the same label."""
     v = table(spark, sf_dir, "embeddings")
-    near = R.scored_against(v, v.where("vec_id < 20"), "vec_id").withColumnRenamed("query_id", "question")
-    top = first_n(near, ["question"], [F.desc("score"), F.asc("key")], 10)
-    items = top.select("question", (F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "key")) - 1).alias("rank"), F.concat(F.lit("c"), F.col("key"), F.lit("#body#1")).alias("item"))
-    gold = v.where("vec_id < 20").select(F.col("vec_id").alias("question"), "label").join(v.select("label", F.col("vec_id").alias("w")), "label")
+    asked = v.where("vec_id % 20 = 0")
+    near = R.dense_many(v.select(F.col("vec_id").alias("key"), "embedding"), asked.select(F.col("vec_id").alias("search"), "embedding"), 10)
+    items = near.select(F.col("search").alias("question"), (F.col("rank") - 1).alias("rank"), F.concat(F.lit("c"), F.col("key"), F.lit("#body#1")).alias("item"))
+    gold = asked.select(F.col("vec_id").alias("question"), "label").join(v.select("label", F.col("vec_id").alias("w")), "label")
     want = F.when(F.col("w") % 2 == 0, F.concat(F.lit("c"), "w")).otherwise(F.concat(F.lit("c"), F.col("w"), F.lit("#body#1")))
     return items, gold.select("question", (F.col("w") % 4).alias("grp"), want.alias("want"))
 
 
 _JUDGED = """
-near AS (SELECT a.vec_id AS question, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20),
+near AS (SELECT a.vec_id AS question, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 items AS (SELECT question, n - 1 AS rank, 'c' || vec_id || '#body#1' AS item, 'c' || vec_id AS label FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS n FROM near) WHERE n <= 10),
 gold AS (SELECT a.vec_id AS question, b.vec_id % 4 AS grp, CASE WHEN b.vec_id % 2 = 0 THEN 'c' || b.vec_id ELSE 'c' || b.vec_id || '#body#1' END AS want
-         FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 20),
+         FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0),
 fh AS (SELECT g.question, g.grp, min(i.rank) AS rank FROM gold g LEFT JOIN items i ON g.question = i.question AND (i.item = g.want OR i.label = g.want) GROUP BY g.question, g.grp)"""
 
 
@@ -88,10 +85,10 @@ def negative_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.threshold_search(_labels(spark, sf_dir).where("lang = 'en'"))
+    return M.threshold_search(_labels(spark, sf_dir))
 
 
-_THRESHOLD = f"""WITH {_LABELS}, e AS (SELECT judge, score FROM l WHERE lang = 'en'),
+_THRESHOLD = f"""WITH {_LABELS}, e AS (SELECT judge, score FROM l),
 g AS (SELECT DISTINCT round(score, 3) AS t FROM e UNION SELECT 0.5),
 c AS (SELECT t, count(*) FILTER (WHERE NOT judge AND score < t) AS tp, count(*) FILTER (WHERE judge AND score < t) AS fp, count(*) FILTER (WHERE NOT judge AND score >= t) AS fn FROM g, e GROUP BY t),
 f AS (SELECT t, round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1 FROM c)
@@ -100,19 +97,8 @@ SELECT t::DOUBLE AS threshold, f1 FROM f ORDER BY f1 DESC, t LIMIT 1"""
 
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accept and reject thresholds under leak limits, fitted on one half and applied to the other."""
-    p = _labels(spark, sf_dir).select("judge", "score", T.half(F.concat(F.lit("r"), "doc_id")).alias("half"), F.round("score", 3).alias("t"))
-    grid = p.where("half = 'tune'").select("t").distinct().withColumnRenamed("t", "g")
-    tune = p.where("half = 'tune'").groupBy("score").agg(F.count("*").alias("c"), F.count_if("judge").alias("good"))
-    fit = grid.join(tune).groupBy("g").agg(
-        F.sum(F.when(F.col("score") >= F.col("g"), F.col("c")).otherwise(0)).alias("acc"),
-        F.sum(F.when(F.col("score") >= F.col("g"), F.col("c") - F.col("good")).otherwise(0)).alias("acc_bad"),
-        F.sum(F.when(F.col("score") < F.col("g"), F.col("c")).otherwise(0)).alias("rej"),
-        F.sum(F.when(F.col("score") < F.col("g"), F.col("good")).otherwise(0)).alias("rej_good"),
-    )
-    limits = fit.agg(
-        F.coalesce(F.min(F.when((F.col("acc") > 0) & (F.col("acc_bad") <= 0.02 * F.col("acc")), F.col("g"))), F.lit(1.01)).alias("hi"),
-        F.coalesce(F.max(F.when((F.col("rej") > 0) & (F.col("rej_good") <= 0.10 * F.col("rej")), F.col("g"))), F.lit(0.0)).alias("lo"),
-    )
+    p = _labels(spark, sf_dir).select("judge", "score", T.half(F.concat(F.lit("r"), "doc_id")).alias("half"))
+    limits = M.triage_limits(p.where("half = 'tune'"))
     rep = p.where("half = 'report'").withColumn("one", F.lit(1)).join(limits.withColumn("one", F.lit(1)), "one")
     return rep.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("hi")).alias("accepted"), F.count_if(F.col("score") < F.col("lo")).alias("rejected"), F.count_if((F.col("score") >= F.col("hi")) & ~F.col("judge")).alias("leaked"))
 

@@ -28,12 +28,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def branch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both branches' ranks side by side, before they are fused."""
-    docs = PR.corpus(spark, sf_dir)
+    docs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
     dense = R.dense_topk(docs, PR.query_vector(spark, sf_dir)).select(F.lit("dense").alias("branch"), "key", "rank")
     return dense.unionByName(PR.lexical(spark, sf_dir, R.PREFETCH).select(F.lit("sparse").alias("branch"), "key", "rank"))
 
 
-_BRANCHES = f"WITH {PR._CORPUS}, {PR._dense()}, {PR._sparse()} SELECT 'dense' AS branch, key, rank FROM dense UNION ALL SELECT 'sparse', key, rank FROM sparse"
+_BRANCHES = f"WITH {PR._CORPUS}, {PR._dense('vec')}, {PR._sparse('txt')} SELECT 'dense' AS branch, key, rank FROM dense UNION ALL SELECT 'sparse', key, rank FROM sparse"
 
 
 def version_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = old_chunks(spark, sf_dir).withColumn("excluded", F.when(F.col("part") == 3, "toc"))
-    rows = [("all", S.count_rows(chunks)), ("src1", S.count_rows(chunks, "src1")), ("src1 live", S.count_rows(chunks, "src1", True)), ("none", S.count_rows(chunks, "no such source"))]
-    return spark.createDataFrame(rows, "what string, n long")
+    kinds = {"all": S.counted(), "src1": S.counted("src1"), "src1 live": S.counted("src1", True), "none": S.counted("no such source")}
+    held = chunks.agg(*[n.alias(k) for k, n in kinds.items()])
+    return held.select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(f"`{k}`").alias("n")) for k in kinds])).alias("r")).select("r.*")
 
 
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +84,11 @@ def tenant_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tenant_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row asked for by its tenant, by another, and by a malformed id."""
+    """Every row asked for by its tenant, by another, in capitals, and by a malformed id: how many of each are answered."""
     every = _tenants(spark, sf_dir)
-    own = every.where("name = 'Customer#000000013'").first()
-    row_id = own["id"] if own else "0" * 32
-    asked = [(n, U.owned(every, i, t).count()) for n, i, t in (("own", row_id, "3"), ("other tenant", row_id, "4"), ("upper case", row_id.upper(), "3"), ("malformed", "13", "3"))]
-    return spark.createDataFrame(asked, "asked string, n long")
+    ways = [("own", F.col("id"), F.col("tenant")), ("other tenant", F.col("id"), F.lit("another")), ("upper case", F.upper("id"), F.col("tenant")), ("malformed", F.substring("id", 1, 20), F.col("tenant"))]
+    asked = every.select(F.explode(F.array(*[F.struct(F.lit(n).alias("asked"), i.alias("id"), t.alias("tenant")) for n, i, t in ways])).alias("a")).select("a.*")
+    return U.all_owned(every, asked).groupBy("asked").agg(F.count("row").alias("n"))
 
 
 def routed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,7 @@ QUERIES = {
     "point_ids": (point_ids, _POINTS),
     "tenant_by_key": (tenant_by_key, "SELECT c_name AS name FROM customer WHERE c_custkey = 17"),
     "tenant_newest": (tenant_newest, _POINTS.replace("FROM documents", "FROM customer").replace("'26 CFR 1.' || doc_id || '#body#1'", "c_custkey::VARCHAR").replace("SELECT doc_id, lower", "SELECT *, lower").replace("SELECT doc_id, h[1:8]", ", p AS (SELECT *, h[1:8]").removesuffix("FROM h") + "FROM h) SELECT c_name AS name, row_number() OVER (ORDER BY c_custkey % 28 + 1 DESC, id) AS place, make_date(2024, 1, (c_custkey % 28 + 1)::INT) AS day FROM p WHERE c_custkey % 5 = 3"),
-    "tenant_owned": (tenant_owned, "SELECT * FROM (VALUES ('own', 1::BIGINT), ('other tenant', 0), ('upper case', 1), ('malformed', 0)) v(asked, n)"),
+    "tenant_owned": (tenant_owned, "SELECT asked, CASE WHEN asked IN ('own', 'upper case') THEN n ELSE 0 END AS n FROM (SELECT count(*) AS n FROM customer), (SELECT unnest(['own', 'other tenant', 'upper case', 'malformed']) AS asked)"),
     "routed_sources": (routed_sources, _ROUTES),
     "client_first": (client_first, _CLIENT),
     "kept_parts": (kept_parts, "SELECT conv_id AS question, turn AS sq, conv_id % 3 = 0 OR turn % 2 = 0 AS keep FROM conversations"),

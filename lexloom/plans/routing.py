@@ -2,50 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators import retrieval as R
 from lexloom.operators import routing as G
+from lexloom.plans import retrieval as PR
+from lexloom.plans.retrieval import searches_sql
 from lexloom.plans.tables import table
 from lexloom.sources import uploads as U
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as candidates of forty searches: made-up scores, four kinds of source."""
-    d = table(spark, sf_dir, "documents")
-    texts = F.explode(F.array(*[F.struct(F.lit(f"q{i}").alias("question"), F.lit(t).alias("text")) for i in range(8) for t in (f"q{i}", f"s{i}")])).alias("t")
-    source = F.element_at(F.array(*[F.lit(s) for s in ("usc", "ecfr", "case", "irs_pub", "client")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    base = d.select("doc_id", "n_chars", source.alias("source"), texts)
-    salt = F.when(F.col("t.text").startswith("s"), 31).otherwise(17) + F.substring("t.question", 2, 3).cast("int")
-    score = F.round((F.col("n_chars") * salt + F.col("doc_id") * 7919) % 10007 / 10007, 6)
-    return base.select("t.question", "t.text", F.concat(F.lit("k"), "doc_id").alias("key"), F.concat(F.lit("c"), F.col("doc_id") % 400).alias("citation"), F.concat(F.lit("s"), F.col("doc_id") % 90).alias("section"), "source", score.alias("score"))
+#: Kinds of sub-queries by a question's number, modulo 4.
+SUBQUERIES = [("statutory", "case_law"), ("statutory", "client_fact"), ("unrouted",), ("case_law", "statutory", "client_fact")]
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as questions: i, question, asked, and as a sub-query's own text the first sentence."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.concat(F.lit("q"), "item_id").alias("question"), F.col("text").alias("asked"), F.substring_index("text", ".", 1).alias("query"))
+
 
+def kinds_of(i: Column) -> Column:
+    return F.element_at(F.array(*[F.array(*map(F.lit, k)) for k in SUBQUERIES]), (i % 4 + 1).cast("int"))
 
-def _plans(spark: SparkSession) -> DataFrame:
-    rows = [(f"q{i}", sq, kind, f"s{i}") for i in range(8) for sq, kind in enumerate([("statutory", "case_law"), ("statutory", "client_fact"), ("unrouted",), ("case_law", "statutory", "client_fact")][i % 4])]
-    return spark.createDataFrame(rows, "question string, sq int, kind string, query string")
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text, terms and vector of every question and sub-query; a text that comes several times has the vector of the least number."""
+    a = asked(spark, sf_dir)
+    both = a.select(F.col("asked").alias("text"), F.col("i").alias("vec_id")).unionByName(a.select(F.col("query").alias("text"), (F.col("i") + 200).alias("vec_id")))
+    one = both.groupBy("text").agg(F.min("vec_id").alias("vec_id"))
+    return one.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "left").select("text", R.tokens(F.col("text")).alias("terms"), "embedding")
+
+
+def retrieved(spark: SparkSession, sf_dir: str, plans: DataFrame, k: int, **more) -> tuple[DataFrame, DataFrame]:
+    """Hits of plans(question, sq, kind, asked, query) by hybrid search over all documents and vectors, and pinned citations."""
+    search = G.hybrid(PR.vectors(spark, sf_dir), PR.index(spark, sf_dir))
+    return G.retrieve(plans, search, words(spark, sf_dir), PR.labelled(spark, sf_dir).drop("text"), k, **more)
 
 
 def routed_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, pinned = G.retrieve(_plans(spark), _scored(spark, sf_dir), 8, statute=1, planned=1)
+    plans = asked(spark, sf_dir).select("question", "asked", "query", F.posexplode(kinds_of(F.col("i"))).alias("sq", "kind"))
+    hits, pinned = retrieved(spark, sf_dir, plans, 8, statute=1, planned=1, siblings=2)
     return hits.join(pinned.withColumn("pinned", F.lit(True)), ["question", "citation"], "left").select("question", "sq", "key", "citation", "source", "score", F.coalesce("pinned", F.lit(False)).alias("pinned"))
 
 
-_SCORED = """
-src AS (SELECT doc_id, n_chars, (['usc', 'ecfr', 'case', 'irs_pub', 'client'])[(doc_id % 5 + 1)::INT] AS source FROM documents),
-sc AS (SELECT 'q' || i AS question, p || i AS text, 'k' || doc_id AS key, 'c' || (doc_id % 400) AS citation, 's' || (doc_id % 90) AS section, source,
-              round((n_chars * (CASE WHEN p = 's' THEN 31 ELSE 17 END + i) + doc_id * 7919) % 10007 / 10007::DOUBLE, 6) AS score
-       FROM src, (SELECT unnest(range(8)) AS i), (SELECT unnest(['q', 's']) AS p)),
-pl AS (SELECT 'q' || i AS question, x.sq, x.kind, 's' || i AS query FROM (SELECT unnest(range(8)) AS i) r JOIN
-       (VALUES (0, 0, 'statutory'), (0, 1, 'case_law'), (1, 0, 'statutory'), (2, 0, 'unrouted'), (3, 0, 'case_law'), (3, 1, 'statutory')) x(m, sq, kind) ON r.i % 4 = x.m)"""
-_ROUTED = f"""WITH {_SCORED},
-a AS (SELECT pl.question, sq, key, citation, source, score, 0 AS late, row_number() OVER (PARTITION BY pl.question, sq ORDER BY score DESC, citation, key) AS n FROM pl JOIN sc ON pl.question = sc.question AND sc.text = pl.question
-      WHERE kind = 'unrouted' OR kind = 'statutory' AND source IN ('usc', 'ecfr', 'irs_pub') OR kind = 'case_law' AND source = 'case'),
-b AS (SELECT pl.question, sq, key, citation, source, score, 1 AS late, row_number() OVER (PARTITION BY pl.question, sq ORDER BY score DESC, citation, key) AS n FROM pl JOIN sc ON pl.question = sc.question AND sc.text = pl.question WHERE kind = 'statutory' AND source = 'usc'),
-c AS (SELECT pl.question, sq, key, citation, source, score, 2 AS late, row_number() OVER (PARTITION BY pl.question, sq ORDER BY score DESC, citation, key) AS n FROM pl JOIN sc ON pl.question = sc.question AND sc.text = pl.query WHERE kind = 'statutory' AND source = 'usc'),
-u AS (SELECT * FROM a WHERE n <= 8 UNION ALL SELECT * FROM b WHERE n <= 8 UNION ALL SELECT * FROM c WHERE n <= 1),
-o AS (SELECT *, row_number() OVER (PARTITION BY question, sq, key ORDER BY late, n) AS r FROM u)
-SELECT question, sq, key, citation, source, score, EXISTS (SELECT 1 FROM c WHERE n <= 1 AND c.question = o.question AND c.citation = o.citation) AS pinned FROM o WHERE r = 1"""
+PLANNED = """
+b AS (SELECT item_id AS i, 'q' || item_id AS question, text AS asked, split_part(text, '.', 1) AS query FROM benchmark),
+pl AS (SELECT question, i, sq, kind, asked, query FROM b JOIN
+       (VALUES (0, 0, 'statutory'), (0, 1, 'case_law'), (1, 0, 'statutory'), (2, 0, 'unrouted'), (3, 0, 'case_law'), (3, 1, 'statutory')) x(m, sq, kind) ON i % 4 = m),
+wd AS (SELECT text, min(vid) AS vid FROM (SELECT asked AS text, i AS vid FROM b UNION ALL SELECT query, i + 200 FROM b) GROUP BY text),
+lab AS (SELECT doc_id AS key, 'c' || (doc_id % 400) AS citation, 's' || (doc_id % 90) AS section, (['usc', 'ecfr', 'case', 'irs_pub', 'client'])[(doc_id % 5 + 1)::INT] AS source FROM documents)"""
+
+
+def requests_sql(rows: str, out: str) -> str:
+    """SQL from requests(question, sq, kind, base, text, srcs, secs, n) to {out}(question, sq, kind, base, ord, key, citation, section, source, score)."""
+    sid = "text || '|' || coalesce(array_to_string(srcs, ','), '') || '|' || coalesce(array_to_string(secs, ','), '')"
+    return f"""
+{out}_r AS (SELECT *, {sid} AS sid FROM ({rows})),
+{out}_a AS (SELECT DISTINCT sid, regexp_extract_all(lower(r.text), '[a-z0-9]+') AS terms, embedding::DOUBLE[] AS q, srcs, secs FROM {out}_r r JOIN wd ON r.text = wd.text LEFT JOIN embeddings ON vec_id = vid),
+{searches_sql(f"{out}_a", f"{out}_h")},
+{out}_p AS (SELECT h.sid, h.key, rrf AS score, citation, section, source, row_number() OVER (PARTITION BY h.sid ORDER BY rrf DESC, citation, h.key) AS place FROM {out}_h h JOIN lab ON h.key = lab.key),
+{out} AS (SELECT question, sq, kind, base, base + place AS ord, key, citation, section, source, score FROM {out}_r r JOIN {out}_p p ON r.sid = p.sid WHERE place <= n)"""
+
+
+_SRCS = "CASE kind WHEN 'statutory' THEN ['usc', 'ecfr', 'irs_pub'] WHEN 'case_law' THEN ['case'] END"
+
+
+def own_sql(k: int) -> str:
+    """SQL of the hits of the questions' own words."""
+    return requests_sql(f"SELECT question, sq, kind, 0 AS base, asked AS text, {_SRCS} AS srcs, NULL::VARCHAR[] AS secs, {k} AS n FROM pl", "own")
+
+
+_REQUESTS = f"""SELECT question, sq, kind, 0 AS base, asked AS text, {_SRCS} AS srcs, NULL::VARCHAR[] AS secs, 8 AS n FROM pl
+  UNION ALL SELECT question, sq, kind, 1000, asked, ['usc'], NULL, 8 FROM pl WHERE kind = 'statutory' UNION ALL SELECT question, sq, kind, 2000, query, ['usc'], NULL, 1 FROM pl WHERE kind = 'statutory'"""
+_ROUTED = f"""WITH {PLANNED}, {requests_sql(_REQUESTS, "r1")},
+pool AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY question, sq, key ORDER BY ord) = 1),
+fs AS (SELECT question, sq, section, min(ord) AS since FROM pool WHERE kind = 'statutory' AND source IN ('usc', 'ecfr') GROUP BY question, sq, section),
+ft AS (SELECT fs.*, asked, row_number() OVER (PARTITION BY fs.question, fs.sq ORDER BY since) AS nth FROM fs JOIN pl ON fs.question = pl.question AND fs.sq = pl.sq QUALIFY nth <= 3),
+{requests_sql("SELECT question, sq, 'statutory' AS kind, 2900 + 100 * nth AS base, asked AS text, ['usc', 'ecfr'] AS srcs, [section] AS secs, 2 AS n FROM ft", "r2")},
+every AS (SELECT * FROM (SELECT * FROM pool UNION ALL SELECT * FROM r2) QUALIFY row_number() OVER (PARTITION BY question, sq, key ORDER BY ord) = 1)
+SELECT question, sq, key, citation, source, score, EXISTS (SELECT 1 FROM r1 WHERE base = 2000 AND r1.question = every.question AND r1.citation = every.citation) AS pinned FROM every"""
 
 
 def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ FROM (SELECT 'o' || c_custkey AS citation FROM customer) o LEFT JOIN s ON o.cita
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     line = table(spark, sf_dir, "lineitem")
-    edges = line.where("l_quantity > 45").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    edges = line.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
     seeds = table(spark, sf_dir, "part").where("p_partkey % 500 = 1").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
     held = table(spark, sf_dir, "part").where("p_size < 25").select(F.concat(F.lit("p"), "p_partkey").alias("node")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
     return edges, seeds, held
@@ -195,7 +195,7 @@ def graph_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAPH = """
-e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity > 45),
+e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
 w AS (SELECT a AS node, b AS nxt FROM e UNION ALL SELECT b, a FROM e),
 seed AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 500 = 1),
 held AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size < 25 UNION SELECT 's' || s_suppkey FROM supplier),

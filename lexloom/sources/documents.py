@@ -35,10 +35,19 @@ def latest_snapshot(spark: SparkSession, path: str, title: int = 26) -> DataFram
     return titles.select(F.explode("titles").alias("t")).where(F.col("t.number") == title).select("t.up_to_date_as_of")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A saved selection of opinions: one JSON array in a file."""
+def snapshots(spark: SparkSession, path: str, title: int = 26) -> DataFrame:
+    """list, up_to_date_as_of of one title in many saved lists, a line each; lists without the title are not there."""
+    lists = spark.read.schema("list long, titles array<struct<number:int,up_to_date_as_of:string>>").json(path)
+    return lists.select("list", F.explode("titles").alias("t")).where(F.col("t.number") == title).select("list", "t.up_to_date_as_of")
+
+
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Saved selections of opinions: one JSON array in a file, or one in each line."""
     shape = "citation string, caseCaption string, filingDate string, documentTitle string, docketNumber string, docketEntryId string, topics array<string>"
-    return spark.read.schema(shape).json(path, multiLine=True).where("citation is not null")
+    if not lines:
+        return spark.read.schema(shape).json(path, multiLine=True).where("citation is not null")
+    arrays = spark.read.text(path).select(F.explode(F.from_json("value", f"array<struct<{shape.replace(' ', ':').replace(',:', ',')}>>")).alias("o"))
+    return arrays.select("o.*").where("citation is not null")
 
 
 def questions(spark: SparkSession, path: str, phases: list[str]) -> DataFrame:

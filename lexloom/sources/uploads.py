@@ -18,6 +18,11 @@ def tenant(spark: SparkSession, name: str, key: str) -> DataFrame:
     return spark.range(1).select(F.uuid().alias("id"), F.lit(name).alias("name"), F.sha2(F.lit(key).cast("binary"), 256).alias("key_sha256"), F.current_timestamp().alias("created_at"))
 
 
+def tenants(asked: DataFrame) -> DataFrame:
+    """A row for each of asked(name, key); of the key only the digest is kept."""
+    return asked.select(F.uuid().alias("id"), "name", F.sha2(F.col("key").cast("binary"), 256).alias("key_sha256"), F.current_timestamp().alias("created_at"))
+
+
 def tenant_for(tenants: DataFrame, key: str) -> DataFrame:
     return tenants.where(F.col("key_sha256") == F.sha2(F.lit(key).cast("binary"), 256)).select("id", "name")
 
@@ -31,6 +36,12 @@ def owned(rows: DataFrame, row_id: str, tenant_id: str) -> DataFrame:
     return rows.where(is_id(F.lit(row_id)) & (F.lower("id") == row_id.lower()) & (F.col("tenant") == tenant_id))
 
 
+def all_owned(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(id, tenant, ...) with row, the id of the row that is answered; a malformed id and another tenant's row are both nothing."""
+    own = rows.select(F.col("id").alias("row"), F.col("tenant").alias("_t"))
+    return asked.join(own, is_id(F.col("id")) & (F.lower("id") == F.col("row")) & (F.col("tenant") == F.col("_t")), "left").drop("_t")
+
+
 def newest_first(rows: DataFrame, tenant_id: str) -> DataFrame:
     return rows.where(F.col("tenant") == tenant_id).orderBy(F.desc("created_at"), "id")
 
