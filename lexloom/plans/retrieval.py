@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators import cells as N
 from lexloom.operators import lexical as X
 from lexloom.operators import ranking as K
 from lexloom.operators import retrieval as R
 from lexloom.plans.tables import table
+from lexloom.session import new_path
 
 #: Query terms of the lexical branch.
 TERMS = ["onesen", "inenan", "whou", "heron", "with"]
@@ -171,6 +173,32 @@ def filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.round(R.filtered_recall(F.col("a"), F.col("e")), 6).alias("recall"), F.size("e").cast("long").alias("n"))
 
 
+def cells(spark: SparkSession, sf_dir: str) -> str:
+    """The cells of all vectors, written anew."""
+    path = new_path(spark, "cells")
+    N.write_cells(vectors(spark, sf_dir), path)
+    return path
+
+
+def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a search, free and within one kind of source: how many searches, and whether approximate hits hold nine of ten exact ones."""
+    held, path, out = vectors(spark, sf_dir), cells(spark, sf_dir), None
+    own = held.select(F.col("key").alias("search"), "embedding")
+    for name, sources in (("free", None), ("usc", ["usc"])):
+        asked = own.withColumn("sources", F.array(*map(F.lit, sources)) if sources else F.lit(None).cast("array<string>"))
+        shares = N.recall(N.search_cells(asked, path, 10), R.dense_many(held, asked, 10))
+        one = shares.agg(F.lit(name).alias("filter"), F.count("*").alias("n"), (F.avg("recall") >= 0.9).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a search of its whole neighbourhood: with all cells probed the approximate search is exact."""
+    held = vectors(spark, sf_dir)
+    asked = held.where("key % 20 = 0").select(F.col("key").alias("search"), "embedding", F.array(F.lit("usc"), F.lit("case")).alias("sources"))
+    return N.search_cells(asked, cells(spark, sf_dir), 10, probes=N.CELLS)
+
+
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of four routed searches, one for each language: question, sq, rank, key, citation, source, score, authority."""
     docs, q, out = corpus(spark, sf_dir), query_vector(spark, sf_dir), None
@@ -335,6 +363,12 @@ SELECT item, key, score, row_number() OVER (PARTITION BY item ORDER BY score DES
 QUERIES = {
     "hybrid_many": (hybrid_many, _MANY),
     "cover_density_topk": (cover_density, _COVERS),
+    "cell_recall": (cell_recall, "SELECT 'free' AS filter, count(*) AS n, TRUE AS enough FROM embeddings UNION ALL SELECT 'usc', count(*), TRUE FROM embeddings"),
+    "cell_topk": (
+        cell_topk,
+        """SELECT a.vec_id AS search, b.vec_id AS key, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) AS rank
+        FROM embeddings a, embeddings b JOIN documents ON doc_id = b.vec_id WHERE a.vec_id % 20 = 0 AND b.vec_id % 5 IN (0, 2) QUALIFY rank <= 10""",
+    ),
     "hybrid_topk": (hybrid_topk, HYBRID),
     "dense_topk": (dense_topk, f"WITH {_CORPUS}, {_dense(k=10)} SELECT key, score, rank FROM dense"),
     "sparse_topk": (sparse_topk, f"WITH {_CORPUS}, {_sparse('txt', k=10)} SELECT key, score, rank FROM sparse"),

@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lexloom.operators import cells as C
 from lexloom.operators import retrieval as R
 
 
@@ -50,3 +52,43 @@ def test_best_of_rows():
     row, column = R.best_of(scores, 2)
     assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 0), (1, 1)]
     assert R.best_of(scores, 9)[1].tolist() == [1, 2, 4, 3, 0, 0, 1, 2, 3, 4]
+
+
+def groups(rng, n, dims=16, around=40):
+    centres = rng.normal(size=(around, dims))
+    return [(int(i), (centres[i % around] + 0.3 * rng.normal(size=dims)).tolist(), "abc"[i % 3], "s1" if i % 2 else None) for i in range(n)]
+
+
+def test_cells_hold_every_vector_and_all_probes_are_exact(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "PACK", 16)
+    monkeypatch.setattr(C, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    corpus = [*groups(rng, 900), (1000, None, "a", "s1"), (1001, [0.0] * 16, "a", "s1"), (1002, [1.0], "a", "s1"), (1003, [float("nan")] * 16, "a", "s1")]
+    df = spark.createDataFrame(corpus, "key long, embedding array<double>, source string, section string").repartition(3)
+    path = str(tmp_path / "cells")
+    C.write_cells(df, path)
+    stored = spark.read.parquet(f"{path}/cells")
+    assert sorted(k for r in stored.collect() for k in r["keys"]) == list(range(900))
+    assert all(len(r["keys"]) <= 16 for r in stored.collect()) and stored.select("cell").distinct().count() == 30
+    asked = [(i, v, [None, ["a"], ["b", "c"]][i % 3], [None, ["s1"]][i % 2]) for i, v, *_ in corpus[:40]]
+    a = spark.createDataFrame(asked, "search long, embedding array<double>, sources array<string>, sections array<string>")
+    exact = {(r["search"], r["rank"], r["key"], r["score"]) for r in R.dense_many(df, a, 5).collect()}
+    assert {(r["search"], r["rank"], r["key"], r["score"]) for r in C.search_cells(a, path, 5, probes=30).collect()} == exact
+
+
+def test_measured_probes_reach_the_wanted_share(spark, tmp_path):
+    df = spark.createDataFrame(groups(np.random.default_rng(3), 2000), "key long, embedding array<double>, source string, section string")
+    path = str(tmp_path / "cells")
+    C.write_cells(df, path, share=0.95)
+    probes = C.probes_of(spark, path)
+    assert 1 <= probes < 20
+    for sources in (None, ["b"]):
+        asked = df.select(F.col("key").alias("search"), "embedding", (F.lit(None).cast("array<string>") if sources is None else F.array(F.lit("b"))).alias("sources"))
+        got = C.recall(C.search_cells(asked, path, 10), R.dense_many(df, asked, 10)).agg(F.avg("recall")).first()[0]
+        assert got >= 0.9
+
+
+def test_cells_of_an_empty_collection(spark, tmp_path):
+    df = spark.createDataFrame([], "key long, embedding array<double>")
+    C.write_cells(df, str(tmp_path / "cells"))
+    assert C.search_cells(spark.createDataFrame([(1, [1.0])], "search long, embedding array<double>"), str(tmp_path / "cells"), 5).count() == 0
