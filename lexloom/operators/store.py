@@ -5,10 +5,12 @@ Tables are DataFrames; a new state is written to a new directory, since plain pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexloom.session import materialise
+
 #: Columns that an upsert never changes.
 FIXED = ("source", "citation", "part", "section")
 #: A stored chunk; the last four columns came later than the others.
@@ -68,11 +70,39 @@ def held_at(current: DataFrame, past: DataFrame, citation: str, at: Column) -> D
     return every.where((F.col("recorded_at") <= at) & (F.col("retired_at").isNull() | (at < F.col("retired_at")))).select("key", "text").orderBy("key")
 
 
-def held_at_all(probes: DataFrame, every: DataFrame) -> DataFrame:
-    """The same for many probes(citation, at): an equi-join on the citation with an interval condition."""
-    p, v = probes.alias("p"), every.alias("v")
-    inside = (F.col("v.recorded_at") <= F.col("p.at")) & (F.col("v.retired_at").isNull() | (F.col("p.at") < F.col("v.retired_at")))
-    return p.join(v, (F.col("p.citation") == F.col("v.citation")) & inside).select("p.*", "v.key", "v.text")
+def held_at_all(probes: DataFrame, every: DataFrame, line: tuple[str, ...] = ("citation",), days: int = 30) -> DataFrame:
+    """The same for many probes(citation, at): probes.*, key, text.
+
+    Versions of one line follow one another: no two of them stand at the same instant. A line is named by columns of every; those
+    that probes lack give a probe for each line of its citation. Probes and starts of versions are sorted together, and the last
+    start is carried forward. Time is cut into ranges of so many days, so a citation with a long history is many groups: what stood when a
+    range begins comes from the last starts of the ranges before it, a row for each. Rows never recorded stood never.
+    """
+    on, names = list(line), probes.columns
+    more = [c for c in on if c not in names]
+    if more:
+        probes = probes.join(every.select("citation", *more).distinct(), "citation")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    span = F.lit(days * 86_400_000_000)
+    version = F.struct("key", "text", "retired_at")
+    last = F.coalesce(micros("retired_at"), F.lit((1 << 63) - 1))
+    none = lambda df, c: F.lit(None).cast(df.select(version.alias("v")).schema["v"].dataType) if c == "v" else F.lit(None)
+    starts = every.where("recorded_at is not null").select(*on, micros("recorded_at").alias("t"), last.alias("end"), F.lit(0).alias("kind"), version.alias("v"))
+    starts = materialise(starts.withColumn("range", F.floor(F.col("t") / span)), "starts")
+    asked = materialise(probes.select(*on, micros("at").alias("t"), F.struct(*names).alias("p")).withColumn("range", F.floor(F.col("t") / span)), "probes")
+
+    lasts = starts.groupBy(*on, "range").agg(F.max_by("v", F.struct("t", "end")).alias("v")).withColumn("kind", F.lit(0))
+    needed = asked.select(*on, "range").distinct().withColumn("v", none(every, "v")).withColumn("kind", F.lit(-1))
+    earlier = Window.partitionBy(*on).orderBy("range", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.unionByName(needed).withColumn("c", F.last("v", ignorenulls=True).over(earlier)).where("kind = -1 and c is not null")
+
+    no_probe = F.lit(None).cast(asked.schema["p"].dataType).alias("p")
+    rows = starts.select(*on, "range", "t", "end", "kind", "v", no_probe)
+    rows = rows.unionByName(carried.select(*on, "range", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("end"), "kind", F.col("c").alias("v"), no_probe))
+    rows = rows.unionByName(asked.select(*on, "range", "t", F.lit(None).cast("long").alias("end"), F.lit(1).alias("kind"), none(every, "v").alias("v"), "p"))
+    upto = Window.partitionBy(*on, "range").orderBy("t", "kind", "end").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("s", F.last("v", ignorenulls=True).over(upto)).where("kind = 1 and s is not null")
+    return held.where(F.col("s.retired_at").isNull() | (F.col("t") < micros("s.retired_at"))).select("p.*", "s.key", "s.text")
 
 
 def index_sweep(index: DataFrame, live: DataFrame) -> DataFrame:

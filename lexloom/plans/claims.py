@@ -9,6 +9,7 @@ from lexloom.functions import claims as C
 from lexloom.functions import legal as L
 from lexloom.operators import backfill as B
 from lexloom.operators import providers as P
+from lexloom.operators import ranges as I
 from lexloom.operators import retrieval as R
 from lexloom.plans.answers import _hits, _sentences
 from lexloom.plans.evaluation import _JUDGED, _judged
@@ -37,10 +38,8 @@ def citation_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of pages and paragraphs against chunks of the same source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") % 30).alias("p"))
     page = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("T.C. Memo. 2020-1, at *"), "p", F.lit("-"), F.col("p") + 2)).otherwise(F.concat(F.lit("183("), F.col("p"), F.lit(")-(z)")))
-    named = d.select("doc_id", "source", page.alias("c"))
-    a, b = named.alias("a"), named.alias("b")
-    hit = a.join(b, F.col("a.source") == F.col("b.source")).where(F.col("a.doc_id") < F.col("b.doc_id")).where(C.contains(F.col("a.c"), F.col("b.c")))
-    return hit.select(F.col("a.doc_id").alias("citation"), F.col("b.doc_id").alias("chunk"))
+    named = d.select(F.col("doc_id").alias("id"), "source", page.alias("citation"))
+    return I.contained(named, named, ["source"]).where("a < b").select(F.col("a").alias("citation"), F.col("b").alias("chunk"))
 
 
 _CONTAINS = """WITH d AS (SELECT doc_id, source, n_chars % 30 AS p, doc_id % 3 > 0 AS pg FROM documents)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import ranges as I
 from lexloom.operators import windows as W
 from lexloom.plans.tables import table
 
@@ -251,11 +252,9 @@ def regex_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page ranges that overlap within a section: the join is on the section, the ranges are its condition."""
-    d = _docs(spark, sf_dir).select("doc_id", "source", (F.col("n_chars") % 90).alias("lo")).withColumn("hi", F.col("lo") + F.col("doc_id") % 4)
-    a, b = d.alias("a"), d.alias("b")
-    hit = a.join(b, (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")))
-    return hit.select(F.col("a.doc_id").alias("cited"), F.col("b.doc_id").alias("chunk"))
+    """Page ranges that overlap within a section."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", (F.col("n_chars") % 90).alias("lo")).withColumn("hi", F.col("lo") + F.col("id") % 4)
+    return I.overlapping(d, d, ["source"]).where("a < b").select(F.col("a").alias("cited"), F.col("b").alias("chunk"))
 
 
 QUERIES = {
