@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.redact import redact
 from lexloom.session import new_path
 from lexloom.streaming import events as E
+from lexloom.streaming.state import admitted, follow_from
 from lexloom.plans.tables import table
 
 
@@ -80,6 +81,21 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, E.follow(twice), "append").select("job_id", "seq")
 
 
+def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What listeners of all jobs hear: a job's first events, a number that depends on the job, are recorded; the rest, and one of the recorded again, come live."""
+    rows = E.sequence(_events(spark, sf_dir)).select("job_id", F.col("seq").cast("long").alias("seq"), "event", "data", F.col("at").cast("timestamp").alias("at"))
+    known = F.col("job_id") % 23
+    live = _as_stream(spark, rows.where(F.col("seq") >= known))
+    return _drained(spark, follow_from(live, rows.where(F.col("seq") <= known), "400 days"), "append").select("job_id", "seq", "event", "at")
+
+
+def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests admitted as they arrive, their questions redacted first."""
+    question = F.concat(F.lit("user "), "user_id", F.lit(" of SSN 123-45-6789 asks"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("tenant"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), question.alias("question"))
+    return _drained(spark, admitted(_as_stream(spark, rows), 30, 150), "append").select("id", "tenant", "day", "nth", "every", "ok", "question")
+
+
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of tenants as a stream."""
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("tenant"), F.col("ts").cast("timestamp").alias("at"))
@@ -107,6 +123,13 @@ QUERIES = {
     "daily_quota": (daily_quota, _QUOTA),
     "quota_today": (quota_today, "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' AND user_id % 8 = 3"),
     "stream_dedupe": (stream_dedupe, f"WITH {_SEQ} SELECT job_id, seq FROM e"),
+    "followed_events": (followed, f"""WITH {_SEQ}, t AS (SELECT *, min(CASE WHEN event IN ('done', 'error') THEN seq END) OVER (PARTITION BY job_id) AS stop FROM e) SELECT job_id, seq, event, "at" FROM t WHERE stop IS NULL OR seq <= stop"""),
+    "stream_admission": (
+        stream_admission,
+        """WITH r AS (SELECT event_id AS id, user_id, user_id % 8 AS tenant, ts AS "at", ts::DATE AS day FROM events),
+        o AS (SELECT *, row_number() OVER (PARTITION BY tenant, day ORDER BY "at", id) AS nth FROM r QUALIFY nth <= 30)
+        SELECT id, tenant, day, nth, row_number() OVER (PARTITION BY day ORDER BY "at", id) AS every, row_number() OVER (PARTITION BY day ORDER BY "at", id) <= 150 AS ok, 'user ' || user_id || ' of SSN [REDACTED SSN] asks' AS question FROM o""",
+    ),
     "stream_equals_batch": (stream_equals_batch, "SELECT ts::DATE AS day, user_id % 8 AS tenant, count(*) AS n FROM events GROUP BY 1, 2"),
     "event_frames": (event_frames, """SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"user":' || user_id || '}' || chr(10) || chr(10) AS frame FROM events"""),
     "terminal_jobs": (terminal_jobs, f"WITH {_SEQ} SELECT job_id, arg_max(event, event_id) AS status FROM e GROUP BY job_id HAVING arg_max(event, event_id) IN ('done', 'error')"),
