@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import graph as G
+from lexloom.operators import incremental as N
 from lexloom.operators import store as S
 from lexloom.plans.tables import table
+from lexloom.session import new_path
 
 COLUMNS = ["key", "source", "citation", "part", "section", "text", "recorded_at"]
 
@@ -71,6 +73,24 @@ def scd_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brief(S.save(old_chunks(spark, sf_dir), new_chunks(spark, sf_dir).where("source = 'src2'"), "src2"))
 
 
+def incremental_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch on a stored table, of which only the folders that the batch names are read and written; run twice."""
+    path = new_path(spark, "chunks")
+    N.create(old_chunks(spark, sf_dir), path)
+    batch = new_chunks(spark, sf_dir).where("source = 'src2'")
+    for _ in range(2):
+        N.save(spark, path, batch, "src2", "b1")
+    return _brief(N.current(spark, path).select(*COLUMNS))
+
+
+def incremental_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch on a stored table has ended."""
+    path = new_path(spark, "chunks")
+    N.create(old_chunks(spark, sf_dir), path)
+    N.save(spark, path, new_chunks(spark, sf_dir).where("source = 'src1'"), "src1", "b1", F.lit("2024-07-01 00:00:00").cast("timestamp_ntz"))
+    return _brief(N.past(spark, path))
+
+
 def scd_empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nothing is swept by a batch without rows."""
     return S.swept(old_chunks(spark, sf_dir), new_chunks(spark, sf_dir).where("false"), "src1").agg(F.count("*").alias("n"))
@@ -236,6 +256,19 @@ QUERIES = {
         SELECT key, source, citation, part, section, md5(coalesce(text, '')) AS text, recorded_at FROM u
         WHERE key NOT IN (SELECT key FROM o WHERE source = 'src2' AND section IN (SELECT section FROM n) AND key NOT IN (SELECT key FROM n))""",
     ),
+    "incremental_save": (
+        incremental_save,
+        f"""WITH {_OLD_NEW.replace("n AS (", "n0 AS (")}, n AS (SELECT * FROM n0 WHERE source = 'src2'), {_UP}
+        SELECT key, source, citation, part, section, md5(coalesce(text, '')) AS text, recorded_at FROM u
+        WHERE key NOT IN (SELECT key FROM o WHERE source = 'src2' AND section IN (SELECT section FROM n) AND key NOT IN (SELECT key FROM n))""",
+    ),
+    "incremental_versions": (
+        incremental_versions,
+        f"""WITH {_OLD_NEW}, b AS (SELECT * FROM n WHERE source = 'src1'),
+        gone AS (SELECT key FROM o WHERE source = 'src1' AND section IN (SELECT section FROM b) AND key NOT IN (SELECT key FROM b))
+        SELECT o.key, o.source, o.citation, md5(coalesce(o.text, '')) AS text, o.recorded_at, b.recorded_at AS retired_at FROM o JOIN b ON o.key = b.key WHERE o.text IS DISTINCT FROM b.text
+        UNION ALL SELECT key, source, citation, md5(coalesce(text, '')), recorded_at, TIMESTAMP '2024-07-01' FROM o WHERE key IN (SELECT key FROM gone)""",
+    ),
     "scd_empty_batch": (scd_empty_batch, "SELECT 0::BIGINT AS n"),
     "held_at": (held_at, f"WITH {_HISTORY} SELECT key, text FROM h WHERE citation = 'u7' AND recorded_at <= TIMESTAMP '2024-01-15 12:00:00' AND (retired_at IS NULL OR retired_at > TIMESTAMP '2024-01-15 12:00:00')"),
     "held_at_all": (
