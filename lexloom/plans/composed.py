@@ -13,6 +13,7 @@ from lexloom.functions import text as T
 from lexloom.operators import metrics as M
 from lexloom.operators import providers as P
 from lexloom.operators import ranking as K
+from lexloom.operators import remembered as Z
 from lexloom.operators import routing as G
 from lexloom.operators import store as S
 from lexloom.operators import synthesis as Y
@@ -284,6 +285,24 @@ def provider_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VECTORS = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, 26 AS dim, length(t) - length(replace(t, 'e', '')) AS n_e, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_letters FROM d"
 
 
+def remembered_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of benchmark passages with the documents of their number, kept in a table: the second run takes them all from there."""
+    path = new_path(spark, "scores")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    pairs = b.join(_docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("item_id"), "doc_id", "text"), "item_id")
+    Z.pair_scores(pairs.where("doc_id % 2 = 0"), "query", "text", "lexical", P.lexical_score, path)
+    first = pairs.where("doc_id % 3 = 0")
+    Z.pair_scores(first, "query", "text", "lexical", lambda q, t: F.lit(-1.0), path)
+    return Z.pair_scores(pairs, "query", "text", "lexical", P.lexical_score, path).select("item_id", "doc_id", "score")
+
+
+_REMEMBERED = """WITH p AS (SELECT item_id, b.text AS query, doc_id, coalesce(d.text, '') AS text FROM benchmark b JOIN documents d ON doc_id % 40 = item_id),
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM p),
+s AS (SELECT *, round(len(list_intersect(q, list_distinct(w))) / greatest(len(q), 1)::DOUBLE, 9) AS fresh FROM t),
+m AS (SELECT query, text, bool_or(doc_id % 2 = 0) AS even, bool_or(doc_id % 3 = 0) AS third FROM s GROUP BY query, text)
+SELECT item_id, doc_id, CASE WHEN even OR NOT third THEN fresh ELSE -1.0 END AS score FROM s JOIN m ON s.query = m.query AND s.text = m.text"""
+
+
 def snapshot_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date of title 26 in each of many saved lists of titles, one for each order, a line each."""
     path = new_path(spark, "titles")
@@ -333,6 +352,7 @@ QUERIES = {
     "answer_cache": (answer_cache, "SELECT doc_id AS question, run, CASE WHEN (doc_id + run) % 3 > 0 AND doc_id % 4 > 0 THEN 'a' || doc_id END AS answer FROM documents, (SELECT unnest([0, 1]) AS run)"),
     "results_written": (results_written, f"WITH {_LABELS} SELECT lang, count(*) AS n, count(*) FILTER (WHERE judge) AS good, round(count(*) FILTER (WHERE judge) / count(*)::DOUBLE, 9) AS share FROM l GROUP BY lang"),
     "provider_vectors": (provider_vectors, _VECTORS),
+    "remembered_scores": (remembered_scores, _REMEMBERED),
     "snapshot_date": (snapshot_date, "SELECT o_orderkey AS list, (o_orderdate::DATE + 3)::DATE::VARCHAR AS up_to_date_as_of FROM orders WHERE o_custkey % 3 <> 0"),
     "opinion_manifest": (opinion_manifest, "SELECT 'T.C. Memo. 2020-' || l_partkey AS citation, 'Part ' || l_partkey AS caption, 2 AS topics, NULL::VARCHAR AS docket FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"),
     "opinion_keys": (opinion_keys, "SELECT 'T.C. Memo. 2020-' || (doc_id % 90) AS opinion, count(*) AS n FROM documents WHERE doc_id % 9 <> 0 GROUP BY 1"),

@@ -10,6 +10,7 @@ from lexloom.operators import routing as G
 from lexloom.plans import retrieval as PR
 from lexloom.plans.retrieval import searches_sql
 from lexloom.plans.tables import table
+from lexloom.session import new_path
 from lexloom.sources import uploads as U
 
 
@@ -91,17 +92,44 @@ def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.admission(uploads).groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
+def _said() -> Column:
+    """A turn as a page: an identifier of each kind after it, its own digits as letters, since SQL can't tell which of them redaction takes."""
+    return F.concat(F.regexp_replace("text", r"[0-9]", "x"), F.lit(" my SSN 123-45-6789 and EIN 12-3456789"))
+
+
+def uploads_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as uploads of five tenants, written as one, then read: what is committed of each, with its chunks and points."""
+    c = table(spark, sf_dir, "conversations")
+    head = F.when(F.col("conv_id") % 9 == 0, F.lit(bytearray(b"GIF8"))).otherwise(F.lit(bytearray(b"%PDF-1.7")))
+    at = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("conv_id") % 1440).cast("int"))).alias("at")
+    document = F.concat(F.lit("d"), "conv_id").alias("document")
+    ups = c.select("conv_id").distinct().select(document, (F.col("conv_id") % 5).cast("string").alias("tenant"), F.concat(F.lit('the  "file" '), "conv_id").alias("name"), head.alias("content"), at)
+    pages = c.select(document, (F.col("turn") + 1).alias("page"), _said().alias("text"))
+    root = new_path(spark, "uploads")
+    U.ingest(spark, root, "b1", ups, pages, "hashed", per_day=40, page_cap=6)
+    held = U.committed(spark, root, "documents").select("document", "tenant", "name", "pages")
+    n = lambda name: U.committed(spark, root, name).groupBy("document").agg(F.count("*").alias(name))
+    return held.join(n("chunks"), "document").join(n("points"), "document")
+
+
 def client_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).cast("string").alias("tenant"), F.concat(F.lit("d"), "conv_id").alias("document"), F.concat(F.lit("file "), "conv_id").alias("name"), (F.col("turn") + 1).alias("page"), F.regexp_replace("text", r"[0-9]", "x").alias("text"))
+    pages = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).cast("string").alias("tenant"), F.concat(F.lit("d"), "conv_id").alias("document"), F.concat(F.lit("file "), "conv_id").alias("name"), (F.col("turn") + 1).alias("page"), _said().alias("text"))
     return U.chunks(pages).select("key", "tenant", "citation", "tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_CLIENT = r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '[0-9]', 'x', 'g'), '[^ \t\n\r\f\v]+') AS w FROM conversations),
+_CLIENT = r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '[0-9]', 'x', 'g') || ' my SSN [REDACTED SSN] and EIN [REDACTED EIN]', '[^ \t\n\r\f\v]+') AS w FROM conversations),
 c AS (SELECT conv_id, turn, unnest(CASE WHEN len(w) <= 230 THEN [w] ELSE [w[i + 1 : i + 230] FOR i IN range(0, len(w), 195) IF len(w[i + 1 : i + 230]) > 34.5] END) AS x,
       generate_subscripts(CASE WHEN len(w) <= 230 THEN [w] ELSE [w[i + 1 : i + 230] FOR i IN range(0, len(w), 195) IF len(w[i + 1 : i + 230]) > 34.5] END, 1) AS n FROM p WHERE len(w) > 0)
 SELECT 'd' || conv_id || '#' || (turn + 1) || '#' || n AS key, (conv_id % 5)::VARCHAR AS tenant, 'file ' || conv_id || ', p. ' || (turn + 1) AS citation, round_even(len(x) * 1.3, 0)::INT AS tokens, md5(array_to_string(x, ' ')) AS digest FROM c"""
 
+_UPLOADS = _CLIENT[: _CLIENT.index("SELECT 'd' ||")] + """,
+n AS (SELECT conv_id, count(*) AS chunks FROM c GROUP BY conv_id), g AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY conv_id),
+o AS (SELECT *, conv_id % 9 <> 0 AND pages <= 6 AS good FROM g),
+s AS (SELECT *, sum(good::INT) OVER (PARTITION BY conv_id % 5 ORDER BY conv_id % 1440, 'd' || conv_id) AS nth FROM o)
+SELECT 'd' || s.conv_id AS document, (s.conv_id % 5)::VARCHAR AS tenant, 'the ''file'' ' || s.conv_id AS name, pages, chunks, chunks AS points FROM s JOIN n ON s.conv_id = n.conv_id WHERE good AND nth <= 40"""
+
 QUERIES = {
+    "uploads_written": (uploads_written, _UPLOADS),
     "routed_retrieval": (routed_retrieval, _ROUTED),
     "upload_admission": (
         upload_admission,
