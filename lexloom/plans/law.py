@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import legal as L
 from lexloom.plans.tables import table
+from lexloom.session import new_path
 from lexloom.sources import notes as N
 from lexloom.sources import outline as O
+from lexloom.sources import sections as X
 
 CHECKED = "2026-01-02 00:00:00"
 
@@ -178,8 +180,8 @@ SELECT 'k' || doc_id AS key, 2025 AS year,
   CASE m WHEN 0 THEN 'July ' || day || ', 2024' WHEN 1 THEN 'May 1, 2024' WHEN 3 THEN 'Dec. 31, 2024' END AS date, m = 2 AS retroactive FROM d"""
 
 
-def regulation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One section of regulation XML for each document: reserved, a table of contents, temporary and ended, or two paragraphs."""
+def _regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """xml, a section of regulation for each document: reserved, a table of contents, temporary and ended, or two paragraphs."""
     body = "<P>(a) <I>General rule.</I> Number {i} applies.</P><P>(b)(1) An exception.</P><TABLE><TR><TH>x</TH><TD>{i}</TD></TR></TABLE><CITA>[T.D. 8253, 54 FR 20542, Mar. 3, 1990]</CITA>"
     xml = _chosen(F.col("doc_id") % 4, [
         f"<ECFR><DIV8 N='1.{{i}}' TYPE='SECTION'><HEAD>Scope.</HEAD>{body}</DIV8></ECFR>",
@@ -187,7 +189,31 @@ def regulation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<ECFR><DIV8 N='1.{i}' TYPE='SECTION'><HEAD>Table of contents</HEAD><P>x</P></DIV8></ECFR>",
         "<ECFR><DIV8 N='1.{i}' TYPE='SECTION'><HEAD>[Reserved]</HEAD></DIV8></ECFR>",
     ])
-    return O.regulations(_docs(spark, sf_dir).select(xml.cast("binary").alias("content")), "2026-09-17").select("key", "citation", "text", "tokens", "excluded", "cita", F.col("authority.status").alias("status"), "source_revision")
+    return _docs(spark, sf_dir).select(xml.alias("xml"))
+
+
+def regulation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each section."""
+    return O.regulations(_regulations(spark, sf_dir).select(F.col("xml").cast("binary").alias("content")), "2026-09-17").select("key", "citation", "text", "tokens", "excluded", "cita", F.col("authority.status").alias("status"), "source_revision")
+
+
+def regulation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections in files of many, read by ranges of bytes."""
+    path = new_path(spark, "regulations")
+    _regulations(spark, sf_dir).select(F.regexp_replace("xml", "</?ECFR>", "").alias("value")).write.text(path)
+    return X.regulations(spark, path, "2026-09-17").select("key", "citation", "text", "tokens", "excluded", "cita", F.col("authority.status").alias("status"), "source_revision")
+
+
+def statute_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statute sections in files of many, read by ranges of bytes; each quotes another section within its own."""
+    path = new_path(spark, "statutes")
+    head = '<x xmlns="u"><meta><created>2026-01-02T00</created><docPublicationName>Online@119-110</docPublicationName></meta>'
+    quoted = '<notes><quotedContent><section identifier="/us/bill/{i}"><num>1</num><content>quoted</content></section></quotedContent></notes></section>'
+    d = _statutes(spark, sf_dir).select("i", F.regexp_replace(F.replace(F.replace("xml", F.lit(head), F.lit("")), F.lit("</x>"), F.lit("")), "</section>$", quoted).alias("value"))
+    whole = d.select(F.lit(1).alias("n"), F.concat(F.replace("value", F.lit("{i}"), F.col("i"))).alias("value"))
+    first = spark.createDataFrame([(0, head)], "n int, value string")
+    first.unionByName(whole).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
+    return X.statutes(spark, path).select("key", "section", "text", "excluded", F.col("as_of").cast("string").alias("as_of"), "source_revision", F.col("authority.level").alias("level"))
 
 
 _REGULATIONS = r"""WITH d AS (SELECT doc_id, doc_id % 4 AS m, '26 CFR 1.' || doc_id || CASE WHEN doc_id % 4 = 1 THEN 'T' ELSE '' END AS c FROM documents WHERE doc_id % 4 < 3)
@@ -196,13 +222,18 @@ SELECT c || CASE m WHEN 0 THEN '(a)-(b)#body#1' WHEN 1 THEN '(a)-(b)#expired#1'
   CASE m WHEN 1 THEN 'expired' WHEN 2 THEN 'toc' END AS excluded, CASE WHEN m < 2 THEN '[T.D. 8253, 54 FR 20542, Mar. 3, 1990]' END AS cita, CASE WHEN m = 1 THEN 'temporary' ELSE 'final' END AS status, 'eCFR 2026-09-17' AS source_revision FROM d"""
 
 
-def statute_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One section of statute XML for each document, some repealed, with a lead that joins its first provision."""
+def _statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i and xml, a section of statute for each document, some repealed, with a lead that joins its first provision."""
     head = '<x xmlns="u"><meta><created>2026-01-02T00</created><docPublicationName>Online@119-110</docPublicationName></meta>'
     live = '<section identifier="/us/usc/t26/s{i}–1"><num>{i}</num><heading>Deduction</heading><chapeau>There is allowed—</chapeau><subsection identifier="/us/usc/t26/s{i}–1/a"><num>(a)</num><heading>General.</heading><content>amount {i}</content></subsection><subsection identifier="/us/usc/t26/s{i}–1/b"><num>(b)</num><content>nothing else</content></subsection></section></x>'
     gone = '<section identifier="/us/usc/t26/s{i}" status="repealed"><heading>Gone</heading></section></x>'
     xml = _chosen((F.col("doc_id") % 5 == 0).cast("int"), [head + live, head + gone])
-    return O.statutes(_docs(spark, sf_dir).select(xml.cast("binary").alias("content"))).select("key", "section", "text", "excluded", F.col("as_of").cast("string").alias("as_of"), "source_revision", F.col("authority.level").alias("level"))
+    return _docs(spark, sf_dir).select("i", xml.alias("xml"))
+
+
+def statute_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each section."""
+    return O.statutes(_statutes(spark, sf_dir).select(F.col("xml").cast("binary").alias("content"))).select("key", "section", "text", "excluded", F.col("as_of").cast("string").alias("as_of"), "source_revision", F.col("authority.level").alias("level"))
 
 
 _STATUTES = """SELECT CASE WHEN doc_id % 5 = 0 THEN '26 U.S.C. § ' || doc_id || '#repealed#1' ELSE '26 U.S.C. § ' || doc_id || '-1(a)-(b)#body#1' END AS key, doc_id || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '-1' END AS section,
@@ -220,4 +251,6 @@ QUERIES = {
     "effective_dates": (effective_dates, _EFFECTIVE),
     "regulation_chunks": (regulation_chunks, _REGULATIONS),
     "statute_chunks": (statute_chunks, _STATUTES),
+    "regulation_file": (regulation_file, _REGULATIONS),
+    "statute_file": (statute_file, _STATUTES),
 }
