@@ -53,8 +53,12 @@ def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat.dictionary, flat.indices.to_numpy(), ends
 
 
+#: Characters of the longest string that is remembered: words recur, runs of text without spaces do not.
+WORD = 64
+
+
 class Memo:
-    """Remembered values of strings. It starts anew when it holds most of them, which changes no result."""
+    """Remembered values of strings of up to WORD characters. It starts anew when it holds most of them, which changes no result."""
 
     def __init__(self, learn: Callable[[list[str]], Iterable], most: int):
         self.learn, self.most = learn, most
@@ -68,7 +72,7 @@ class Memo:
             if len(self.known) + len(new) > self.most:
                 self.known = {}
             found = list(self.learn(new))
-            self.known.update(zip(new, found, strict=True))
+            self.known.update((u, v) for u, v in zip(new, found, strict=True) if len(u) <= WORD)
             rest = iter(found)
             out = [next(rest) if v is None else v for v in out]
         return out

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Memo, map_arrow, slices, strings
+from lexloom.llm.common import WORD, Memo, map_arrow, slices, strings
 
 #: Units whose counts a worker remembers at most; beyond that it starts anew.
 REMEMBERED = 600_000
@@ -58,6 +58,8 @@ class PrefixCounter:
         self.tokens = {as_bytes(w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.longest = max(map(len, self.tokens))
+        #: Every ending of a token: what is none of these ends no token.
+        self.endings = {t[k:] for t in self.tokens for k in range(len(t))}
         self.made = {a + b: (a, b, k) for (a, b), k in self.rank.items()}
         self.agrees: dict[tuple[bytes, bytes], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
@@ -120,14 +122,18 @@ class PrefixCounter:
 
     def _extend(self, text: bytes, known: int, last: list[bytes], counts: list[int]) -> None:
         """The last token and the count of each prefix that is longer than known bytes."""
-        tokens, agrees, longest = self.tokens, self.agrees, self.longest
+        tokens, agrees, endings = self.tokens, self.agrees, self.endings
         for i in range(known + 1, len(text) + 1):
-            for start in range(max(0, i - longest), i):
-                if (token := text[start:i]) in tokens:
-                    pair = (last[start], token)
-                    if pair in agrees and agrees[pair] or pair not in agrees and self._agrees(*pair):
-                        last[i], counts[i] = token, counts[start] + 1
-                        break
+            found, start = [], i - 1
+            while start >= 0 and (token := text[start:i]) in endings:
+                if token in tokens:
+                    found.append((start, token))
+                start -= 1
+            for start, token in reversed(found):
+                pair = (last[start], token)
+                if pair in agrees and agrees[pair] or pair not in agrees and self._agrees(*pair):
+                    last[i], counts[i] = token, counts[start] + 1
+                    break
             else:
                 raise ValueError("a byte of the text is not in the vocabulary")
 
@@ -136,7 +142,7 @@ class PrefixCounter:
         if len(self.small) + len(units) > REMEMBERED:
             self.small.clear()
         cut = [[p.encode() for p in self._cut(u if u[0] == "\n" else " " + u)] for u in units]
-        small = self.small
+        small, long_ = self.small, {}
         before, last, counts = b"", [b""], [0]
         for piece in sorted({p for ps in cut for p in ps if p not in small}):
             n, k, most = len(piece), 0, min(len(piece), len(before))
@@ -146,15 +152,15 @@ class PrefixCounter:
             counts[k + 1 :] = [0] * (n - k)
             self._extend(piece, k, last, counts)
             before = piece
-            small[piece] = counts[n]
-        return [sum(map(small.__getitem__, ps)) for ps in cut]
+            (small if n <= WORD else long_)[piece] = counts[n]
+        return [sum(small[p] if p in small else long_[p] for p in ps) for ps in cut]
 
     def _count(self, text: bytes) -> int:
         if (known := self.small.get(text)) is None:
             if len(self.small) > REMEMBERED:
                 self.small.clear()
             known = self.piece(text)[-1]
-            if len(text) <= 64:
+            if len(text) <= WORD:
                 self.small[text] = known
         return known
 
@@ -245,15 +251,33 @@ class PrefixCounter:
         sums = list(accumulate(counts))
         if not sums or sums[-1] <= limit:
             return len(text)
-        if self._units(text) is None:
-            return max(i for i, n in enumerate(self.prefix_counts(text)) if n <= limit)
         k = bisect_right(sums, limit)
+        if self._units(text) is None:
+            if self.special and self.special.search(text):
+                return max(i for i, n in enumerate(self.prefix_counts(text)) if n <= limit)
+            return self._within(units, sums, k, limit)
         left = limit - (sums[k - 1] if k else 0)
         spaced = [u if not i or u[0] == "\n" else " " + u for i, u in enumerate(units[: k + 1])]
         inside = self.prefix_counts(spaced[k])
         return sum(map(len, spaced[:k])) + max(i for i, n in enumerate(inside) if n <= left)
 
 
+    def _within(self, units: list[str], sums: list[int], k: int, limit: int) -> int:
+        """The same for pieces, of which the counts up to piece k are within the limit: only that piece is read again, and one letter after it."""
+        base, p = sums[k - 1] if k else 0, units[k]
+        # what is longer than as many of the longest tokens has more tokens
+        some = p[: (limit - base + 1) * self.longest]
+        at, until = self.piece(some.encode()), sum(map(len, units[:k]))
+        own = [base + at[e] for e in accumulate(len(c.encode()) for c in some)]
+        if p[0].isspace() and k and units[k - 1].isspace():
+            own[0] = (sums[k - 2] if k > 1 else 0) + self._count((units[k - 1] + p[0]).encode())
+        if p in ("'re", "'ve", "'ll"):
+            own[1] = base + 2
+        if p.isspace() and k + 1 < len(units) and units[k + 1][0].isspace() and base + self._count((p + units[k + 1][0]).encode()) <= limit:
+            return until + len(p) + 1
+        return until + max((i for i, n in enumerate(own, 1) if n <= limit), default=0)
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("limit_chars", pa.int64())])
 
 

@@ -13,7 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import exact_dedup, mixing, near_dedup, pii, quality, queries, secret_scan, sentence_pieces, token_counts, token_store, topk
+from lexloom import session
+from lexloom.llm import common, exact_dedup, mixing, near_dedup, pii, quality, queries, secret_scan, sentence_pieces, token_counts, token_store, topk
 from lexloom.session import materialise
 from oracle import spark_rows, sql_rows
 
@@ -548,3 +549,31 @@ def test_counted_terms():
     want = {(0, name("the")): 3, (0, name("3rd")): 1, (2, name("naïve")): 2, (2, name("é")): 1, (3, name("the")): 1}
     assert {(d, t): n for d, t, n in zip(found.doc.tolist(), found.term.tolist(), found.tf.tolist(), strict=True)} == want
     assert found.lengths.tolist() == [4, 0, 3, 1]
+
+
+def test_limits_are_read_from_the_counts_of_pieces(counter):
+    """Texts that spaces alone don't part: the limit is found from the counts of their pieces as from all prefixes."""
+    rng = random.Random(12)
+    parts = ["a", " ", "  ", "\n", "\n\n", "'re", "'ll", "日本", "é", "12", "x" * 30, " \n", "\t", "word", "!", "...", "<|endoftext|>"]
+    for _ in range(1500):
+        text, limit = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))), rng.randint(1, 12)
+        counts = counter.prefix_counts(text)
+        assert counts[-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
+        assert counter.truncated(text, limit) == max(k for k, n in enumerate(counts) if n <= limit)
+
+
+def test_what_a_worker_remembers_stays_small(counter):
+    rng = random.Random(13)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(400)) for _ in range(300)]
+    for t in texts:
+        counter.count(t)
+    assert not any(len(u) > 64 for u in counter.memo.known) and not any(len(p) > 64 for p in counter.small)
+    memo = common.Memo(lambda new: [len(u) for u in new], 10)
+    assert memo.values(["a" * 65, "b"]) == [65, 1] and list(memo.known) == ["b"]
+    assert memo.values(["a" * 65, "b"]) == [65, 1]
+
+
+def test_token_store_of_an_empty_table(spark, empty):
+    path = session.new_path(spark, "tokens")
+    token_store.write_store(empty.select("doc_id", "text"), queries.tokenizer("word_bpe_49k.json"), path, end=2)
+    assert token_store.read_store(spark, path).count() == 0
