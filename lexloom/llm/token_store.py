@@ -78,6 +78,20 @@ class Ans:
         body = np.concatenate(words).astype("<u4").tobytes() if rows else b""
         return head + state.astype("<u8").tobytes() + notes + body
 
+    @staticmethod
+    def firsts(payload: bytes) -> np.ndarray:
+        """The place of the first id after the start and after each checkpoint of a block."""
+        _, lanes, n = struct.unpack_from("<QII", payload)
+        rows = [struct.unpack_from("<I", payload, 16 + 8 * lanes + k * (12 + 8 * lanes))[0] for k in range(n)]
+        return np.array([0, *rows]) * lanes
+
+    def between(self, payload: bytes, since: int, until: int) -> np.ndarray:
+        """The ids of a block from one place to another, decoded from the last checkpoint before and no further than the next one after."""
+        firsts = self.firsts(payload)
+        parts = range(int(np.searchsorted(firsts, since, "right")) - 1, int(np.searchsorted(firsts, max(until, since + 1), "left")))
+        held = np.concatenate([np.zeros(0, np.uint32), *[self.decode(payload, p) for p in parts]])
+        return held[since - int(firsts[parts[0]]) :][: until - since]
+
     def decode(self, payload: bytes, part: int | None = None) -> np.ndarray:
         """The ids of a block, or those from checkpoint number part (0: the start) up to the next."""
         if self.symbol is None:
@@ -302,3 +316,30 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     bases = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def ids_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, start, ids of the documents of wanted(doc_id): of each block only the ranges between checkpoints that hold them are decoded.
+
+    A document that stands several times comes several times; one that the store lacks does not come; start is its place in its block's shard.
+    """
+    table = bytes(spark.read.parquet(f"{path}/table").first()["frequencies"])
+    blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks")
+    placed = blocks.select("shard", "block", "start", F.posexplode(F.arrays_zip("doc_ids", "counts")).alias("n", "d"))
+    upto = F.sum("d.counts").over(Window.partitionBy("shard", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.select("shard", "block", F.col("d.doc_ids").alias("doc_id"), (upto - F.col("d.counts")).alias("since"), upto.alias("until"))
+    asked = placed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "since", "until")).alias("asked"))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ans = Ans(np.frombuffer(table, "<u4"))
+        for whole in batches:
+            for row in (r for k in range(whole.num_rows) for r in whole.slice(k, 1).to_pylist()):
+                if zlib.crc32(row["payload"]) != row["payload_crc32"]:
+                    raise ValueError(f"shard {row['shard']}, block {row['block']}: the payload is damaged")
+                for d in row["asked"]:
+                    ids = ans.between(row["payload"], d["since"], d["until"]).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((d["doc_id"], row["start"] + d["since"], ids), schema.types, strict=True)], schema=schema)
+
+    met = blocks.join(asked, ["shard", "block"]).select("shard", "block", "start", "payload", "payload_crc32", "asked")
+    return map_arrow(met, decode, "doc_id long, start long, ids array<long>")

@@ -248,6 +248,31 @@ def test_store_holds_what_the_library_gives(spark, docs, texts, odd, tmp_path):
     assert [r["doc_id"] for r in sorted(held, key=lambda r: r["start"])] == sorted((r[0] for r in ODD), key=lambda i: (i is not None, i))
 
 
+def test_some_documents_are_read_from_their_checkpoints(spark, docs, texts, tmp_path, monkeypatch):
+    path = queries.tokenizer("word_bpe_49k.json")
+    library = token_store.UnitIds(path).library
+    token_store.write_store(docs, path, str(tmp_path / "a"), end=2)
+    wanted = docs.where("doc_id % 7 = 3").select("doc_id").union(docs.limit(1).select((F.col("doc_id") * 0 - 5).alias("doc_id")))
+    got = {r["doc_id"]: r["ids"] for r in token_store.ids_of(spark, str(tmp_path / "a"), wanted).collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items() if i % 7 == 3}
+    assert token_store.ids_of(spark, str(tmp_path / "a"), wanted.limit(0)).count() == 0
+
+
+def test_ranges_of_a_block_decode_alone():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 1_000_000), 999).astype(np.uint32)
+    ans = token_store.Ans(token_store.scaled(np.bincount(ids, minlength=1000)))
+    payload, decoded = ans.encode(ids), []
+    plain = ans.decode
+    ans.decode = lambda p, part=None: decoded.append(part) or plain(p, part)
+    n = len(ans.firsts(payload))
+    assert n > 3
+    for since, until in [(0, 1), (0, len(ids)), (270_000, 270_100), (262_143, 262_145), (999_990, 1_000_000), (5, 5), *[tuple(sorted(rng.integers(0, len(ids), 2).tolist())) for _ in range(20)]]:
+        decoded.clear()
+        assert (ans.between(payload, since, until) == ids[since:until]).all()
+        assert len(decoded) <= (until - since) // int(ans.firsts(payload)[1]) + 2
+
+
 def test_damage_is_noticed(spark, docs, tmp_path):
     path = str(tmp_path / "c")
     token_store.write_store(docs, queries.tokenizer("word_bpe_49k.json"), path)
