@@ -429,7 +429,17 @@ def test_quality_on_held_out_labels(spark, sf_dir, odd, empty):
     assert np.mean([(s >= 0.5) == bool(y) for s, y in held]) > 0.95
     none = labels.where("false")
     assert {r["score"] for r in quality.quality_scores(odd, none).collect()} == {0.5}
-    assert quality.quality_scores(odd, labels).count() == len(ODD)
+    got = quality.quality_scores(odd, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ODD)
+    by = defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add(round(r["score"], 12))
+        assert r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+        assert r["doc_id"] is None or r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert all(len(v) == 1 for v in by.values())  # rows that repeat an id and a text repeat their score
+    assert by[1] == by[2] and by[3] == by[4]  # null is empty; equal texts have equal scores whatever their ids
+    clashing = odd.withColumnsRenamed({"source": "score", "kept": "predicted"})
+    assert {(r["doc_id"], round(r["score"], 12)) for r in quality.quality_scores(clashing, labels).collect()} == {(i, x) for i, v in by.items() for x in v}
     assert quality.quality_scores(empty, none).count() == 0
 
 
@@ -492,7 +502,14 @@ def test_mixing_meets_its_targets(spark, docs, odd, empty):
     sized = docs.select(F.concat(F.lit("="), "source").alias("name"), F.regexp_count("text", F.lit(mixing.WORD)).cast("long").alias("n_tokens"))
     w = [r["weight"] for r in mixing.source_weights(sized, entropy=target, repeats=None, budget=1.0).collect()]
     assert abs(-sum(p * math.log(p) for p in w) - target) < 1e-6 and abs(sum(w) - 1) < 1e-9
-    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
+    got = mixing.mix(odd).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"]) for r in got) == Counter((i, src, words(t)) for i, t, src, _ in ODD)
+    weights = {r["source"]: r["weight"] for r in got}
+    assert min(weights.values()) > 0 and None in weights and abs(sum(weights.values()) - 1) < 1e-9
+    clashing = odd.withColumnRenamed("kept", "n_tokens")
+    assert Counter((r["doc_id"], r["n_copies"]) for r in mixing.mix(clashing).collect()) == Counter((r["doc_id"], r["n_copies"]) for r in got)
+    assert mixing.mix(empty).count() == 0
 
 
 def test_mixing_can_lose_nothing(spark):
