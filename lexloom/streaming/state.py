@@ -7,9 +7,11 @@ sets it for the session.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,9 @@ from lexloom.functions.redact import redacted
 from lexloom.session import ship
 from lexloom.streaming.events import OVERALL, PER_TENANT, TERMINAL
 
+#: The process that starts a processor has none of the files that a session ships, so processors travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENT = "seq long, event string, data string, at timestamp"
 
