@@ -193,10 +193,10 @@ def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth vector as a search of its whole neighbourhood: with all cells probed the approximate search is exact."""
+    """Every twentieth vector as a search of its whole neighbourhood: with all cells visited the approximate search is exact."""
     held = vectors(spark, sf_dir)
     asked = held.where("key % 20 = 0").select(F.col("key").alias("search"), "embedding", F.array(F.lit("usc"), F.lit("case")).alias("sources"))
-    return N.search_cells(asked, cells(spark, sf_dir), 10, probes=N.CELLS)
+    return N.search_cells(asked, cells(spark, sf_dir), 10, visits=1 << 60)
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:

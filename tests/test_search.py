@@ -59,7 +59,7 @@ def groups(rng, n, dims=16, around=40):
     return [(int(i), (centres[i % around] + 0.3 * rng.normal(size=dims)).tolist(), "abc"[i % 3], "s1" if i % 2 else None) for i in range(n)]
 
 
-def test_cells_hold_every_vector_and_all_probes_are_exact(spark, tmp_path, monkeypatch):
+def test_cells_hold_every_vector_and_all_visits_are_exact(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(C, "PACK", 16)
     monkeypatch.setattr(C, "BLOCK", 7)
     rng = np.random.default_rng(2)
@@ -73,17 +73,21 @@ def test_cells_hold_every_vector_and_all_probes_are_exact(spark, tmp_path, monke
     asked = [(i, v, [None, ["a"], ["b", "c"]][i % 3], [None, ["s1"]][i % 2]) for i, v, *_ in corpus[:40]]
     a = spark.createDataFrame(asked, "search long, embedding array<double>, sources array<string>, sections array<string>")
     exact = {(r["search"], r["rank"], r["key"], r["score"]) for r in R.dense_many(df, a, 5).collect()}
-    assert {(r["search"], r["rank"], r["key"], r["score"]) for r in C.search_cells(a, path, 5, probes=30).collect()} == exact
+    assert {(r["search"], r["rank"], r["key"], r["score"]) for r in C.search_cells(a, path, 5, visits=10**6).collect()} == exact
 
 
-def test_measured_probes_reach_the_wanted_share(spark, tmp_path):
+def test_measured_visits_reach_the_wanted_share(spark, tmp_path):
     df = spark.createDataFrame(groups(np.random.default_rng(3), 2000), "key long, embedding array<double>, source string, section string")
     path = str(tmp_path / "cells")
     C.write_cells(df, path, share=0.95)
-    probes = C.probes_of(spark, path)
-    assert 1 <= probes < 20
-    for sources in (None, ["b"]):
-        asked = df.select(F.col("key").alias("search"), "embedding", (F.lit(None).cast("array<string>") if sources is None else F.array(F.lit("b"))).alias("sources"))
+    assert 10 <= C.visits_of(spark, path) < 1000
+    rare = df.withColumn("source", F.when(F.col("key") % 50 == 0, "rare").otherwise(F.col("source")))
+    C.write_cells(rare, path + "2", share=0.95)
+    for sources, df, path in ((None, df, path), ("b", df, path), ("rare", rare, path + "2"), ("none", rare, path + "2")):
+        asked = df.select(F.col("key").alias("search"), "embedding", (F.lit(None).cast("array<string>") if sources is None else F.array(F.lit(sources))).alias("sources"))
+        if sources == "none":
+            assert C.search_cells(asked, path, 10).count() == 0
+            continue
         got = C.recall(C.search_cells(asked, path, 10), R.dense_many(df, asked, 10)).agg(F.avg("recall")).first()[0]
         assert got >= 0.9
 
