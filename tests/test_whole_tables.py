@@ -1,10 +1,24 @@
 """Queries reach every row and the whole of each text, beyond what their SQL's tables show."""
 
+import duckdb
+
 from lexloom import catalogue
+from oracle import plain, spark_rows
 
 QUERIES = catalogue.queries()
 
 
+def rows_of_sql(name, sf_dir, *tables):
+    """Sorted rows of a query's SQL over the tables named, columns by name."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet/*.parquet')")
+    got = con.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in got.description]
+    order = [names.index(n) for n in sorted(names)]
+    return sorted(names), sorted("|".join(plain(r[i]) for i in order) for r in got.fetchall())
+
+
 def test_running_spend_goes_on_until_the_cap(spark, tmp_path):
     rows = [(i, 1, "click") for i in range(3500)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
@@ -25,3 +39,11 @@ def test_citation_edges_reads_the_whole_text(spark, tmp_path):
     assert ("T.C. Memo. 2010-2", "T.C. Memo. 1999-77") in got
     assert ("T.C. Memo. 2010-2", "T.C. Memo. 2010-1") in got
     assert ("T.C. Memo. 2010-2", "116 T.C. 432") in got
+
+
+def test_provider_vectors_counts_capitals(spark, tmp_path):
+    rows = [(1, "Eel, É, K and\nE"), (2, None), (3, "ABC" * 2000 + "e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_e"], r["n_letters"]) for r in QUERIES["provider_vectors"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 8), 2: (0, 0), 3: (1, 6001)}
+    assert spark_rows(QUERIES["provider_vectors"](spark, str(tmp_path))) == rows_of_sql("provider_vectors", tmp_path, "documents")
