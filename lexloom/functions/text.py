@@ -85,11 +85,11 @@ def authority_label(kind: Column, status: Column) -> Column:
 
 
 def revision(source: Column, as_of: Column) -> Column:
-    day = as_of.cast("string")
+    day = F.regexp_replace(as_of.cast("string"), r"^\+", "")  # years of five digits and more have a sign
     return (
         F.when(source == "ecfr", F.concat(F.lit("eCFR "), day))
         .when(source == "case", F.concat(F.lit("filed "), day))
-        .when((source == "irs_pub") & (day > "1900-01-01"), F.concat(F.substring(day, 1, 4), F.lit(" edition")))
+        .when((source == "irs_pub") & (as_of > F.lit("1900-01-01").cast("date")), F.concat(F.substring(day, 1, 4), F.lit(" edition")))
     )
 
 

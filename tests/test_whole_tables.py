@@ -47,3 +47,9 @@ def test_provider_vectors_counts_capitals(spark, tmp_path):
     got = {r["doc_id"]: (r["n_e"], r["n_letters"]) for r in QUERIES["provider_vectors"](spark, str(tmp_path)).collect()}
     assert got == {1: (3, 8), 2: (0, 0), 3: (1, 6001)}
     assert spark_rows(QUERIES["provider_vectors"](spark, str(tmp_path))) == rows_of_sql("provider_vectors", tmp_path, "documents")
+
+
+def test_revision_labels_after_the_year_9999(spark, tmp_path):
+    made = "CAST(d + k AS BIGINT) AS doc_id, CAST(100 AS INT) AS n_chars"
+    spark.sql(f"SELECT {made} FROM VALUES (0), (79900), (500000), (5000000) t(d) CROSS JOIN (SELECT explode(sequence(0, 99)) AS k)").write.parquet(f"{tmp_path}/documents.parquet")
+    assert spark_rows(QUERIES["revision_labels"](spark, str(tmp_path))) == rows_of_sql("revision_labels", tmp_path, "documents")
