@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialise
 
+#: Parts that the ids of one citation are dealt into when pairs are made.
+SPLIT = 8
+
 
 def _size(lo: Column, hi: Column) -> Column:
     """The least power of two that is at least the length, as its exponent."""
@@ -60,11 +63,27 @@ def prefixed(texts: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
 
 
 def contained(citations: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
-    """a, b: citations(id, citation, *on) with the chunks(id, citation, *on) that hold them, as functions.claims.contains says of one pair."""
+    """a, b: citations(id, citation, *on) with the chunks(id, citation, *on) that hold them, as functions.claims.contains says of one pair.
+
+    Rows of one citation are alike: different citations are joined, and each pair of them is made into pairs of ids last, in no shuffle.
+    """
     from lexloom.functions.claims import head_of, pages
 
     ranges = lambda df: df.withColumn("_p", pages(F.col("citation"))).select(*on, "id", F.col("_p.first").alias("lo"), F.col("_p.last").alias("hi"))
     whole = lambda df: df.select(*on, "id", F.col("citation").alias("text"))
     heads = lambda df: df.select(*on, "id", head_of(F.col("citation")).alias("text"))
-    back = prefixed(whole(chunks), heads(citations), on).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return overlapping(ranges(citations), ranges(chunks), on).unionByName(prefixed(whole(citations), heads(chunks), on)).unionByName(back).distinct()
+    (of_a, one_a), (of_b, one_b) = _alike(citations, on, "citations"), _alike(chunks, on, "chunks")
+    back = prefixed(whole(one_b), heads(one_a), on).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = overlapping(ranges(one_a), ranges(one_b), on).unionByName(prefixed(whole(one_a), heads(one_b), on)).unionByName(back).distinct()
+    parts = int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = of_a.select(F.col("id").alias("_id"), F.col("alike").alias("a")).join(pairs, "a").select("_id", F.col("b").alias("alike"), F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).cast("int").alias("_part"))
+    right = of_b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    both = left.repartition(parts, "alike", "_part").join(right.repartition(parts, "alike", "_part"), ["alike", "_part"])
+    return both.select(F.col("_id").alias("a"), F.col("id").alias("b"))
+
+
+def _alike(df: DataFrame, on: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """(id, alike) of each id once, and (id, citation, *on), the rows that an id with this alike has."""
+    rows = df.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(*on, "citation"))).alias("rows"))
+    of = materialise(rows.withColumn("alike", F.md5(F.to_json("rows").cast("binary"))), label)
+    return of.select("id", "alike"), materialise(of.select("alike", "rows").distinct().select(F.col("alike").alias("id"), F.explode("rows").alias("r")).select("id", "r.*"), label)

@@ -47,6 +47,17 @@ def test_contained_pairs_are_those_of_the_predicate(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_contained_pairs_of_alike_ids_are_made_last_and_once(spark):
+    rows = [(i, "st"[i % 2], f"M, at *{i % 5}-{i % 5 + 1}" if i % 3 else f"183({i % 2})-(z)") for i in range(90)] + [(0, "s", "M, at *3"), (0, "s", "M, at *3"), (None, "s", "M, at *3")]
+    df = spark.createDataFrame(rows, "id int, g string, citation string")
+    a, b = df.alias("a"), df.alias("b")
+    want = a.join(b, F.col("a.g") == F.col("b.g")).where(contains(F.col("a.citation"), F.col("b.citation"))).select("a.id", "b.id").distinct()
+    found = I.contained(df, df, ["g"])
+    assert sorted(map(str, found.collect())) == sorted(str(r).replace("id=", "a=", 1).replace("id=", "b=", 1) for r in want.collect())
+    plan = [x.strip(" +-:") for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert next(x for x in plan if not x.startswith("Project")).startswith("Join")
+
+
 @pytest.mark.parametrize("days", [1, 30, 5000])
 def test_as_of_equals_brute_force(spark, days):
     rng, day = random.Random(4), lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=n)
