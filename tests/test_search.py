@@ -96,3 +96,25 @@ def test_cells_of_an_empty_collection(spark, tmp_path):
     df = spark.createDataFrame([], "key long, embedding array<double>")
     C.write_cells(df, str(tmp_path / "cells"))
     assert C.search_cells(spark.createDataFrame([(1, [1.0])], "search long, embedding array<double>"), str(tmp_path / "cells"), 5).count() == 0
+
+
+def test_a_task_multiplies_few_questions_at_once():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    rng = np.random.default_rng(0)
+    asked, held = rng.normal(size=(R.SEARCHES, 16)), rng.normal(size=(R.ROWS, 16))
+    schema = StructType([StructField("search", LongType()), StructField("key", LongType()), StructField("score", DoubleType()), StructField("close", LongType())])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(held))), pa.array(held.tolist())], names=["key", "embedding"])
+    run = R._nearest(SimpleNamespace(value=([(i, None, None) for i in range(len(asked))], asked)), 16, 3, 0.3, [], schema)
+    tracemalloc.start()
+    best, counts = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    cosine = np.round((asked / np.linalg.norm(asked, axis=1)[:, None]) @ (held / np.linalg.norm(held, axis=1)[:, None]).T, 9)
+    assert peak < 60e6
+    assert counts.column(3).to_pylist() == (cosine > 0.3).sum(axis=1).tolist()
+    assert np.allclose(np.array(best.column(2)).reshape(-1, 3), -np.sort(-cosine, axis=1)[:, :3], atol=2e-9)
