@@ -10,7 +10,7 @@ from lexloom.operators import lexical as X
 from lexloom.operators import ranking as K
 from lexloom.operators import retrieval as R
 from lexloom.plans.tables import table
-from lexloom.session import new_path
+from lexloom.session import materialise, new_path
 
 #: Query terms of the lexical branch.
 TERMS = ["onesen", "inenan", "whou", "heron", "with"]
@@ -182,7 +182,7 @@ def cells(spark: SparkSession, sf_dir: str) -> str:
 
 def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a search, free and within one kind of source: how many searches, and whether approximate hits hold nine of ten exact ones."""
-    held, path, out = vectors(spark, sf_dir), cells(spark, sf_dir), None
+    held, path, out = materialise(vectors(spark, sf_dir), "vectors"), cells(spark, sf_dir), None
     own = held.select(F.col("key").alias("search"), "embedding")
     for name, sources in (("free", None), ("usc", ["usc"])):
         asked = own.withColumn("sources", F.array(*map(F.lit, sources)) if sources else F.lit(None).cast("array<string>"))
