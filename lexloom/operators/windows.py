@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,21 +77,27 @@ def packed(blocks: DataFrame, group: str, order: str, limit: int, tokens: Callab
     ship(blocks.sparkSession)
     sized = blocks.select(group, order, word_count(F.col("text")).alias("_words"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        at, n, out, start = pdf[order].tolist(), pdf["_words"].tolist(), [], 0
-        while start < len(n):
-            end, total = start + 1, n[start]
-            while end < len(n) and tokens(total + n[end]) <= limit:
-                total, end = total + n[end], end + 1
-            out.append((pdf[group].iloc[0], len(out) + 1, at[start], at[end - 1], total))
-            if end == len(n):
-                break
-            start = end - overlap if end - start > overlap else end
-        return pd.DataFrame(out, columns=[group, "pack", "first", "last", "n_words"])
-
     kinds = dict(sized.dtypes)
-    return sized.groupBy(group).applyInPandas(pack, f"{group} {kinds[group]}, pack int, first {kinds[order]}, last {kinds[order]}, n_words long")
+    lists = sized.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_words").alias("n")))).alias("_l"))
+    lists = lists.select(group, F.col("_l.at").alias("_at"), F.col("_l.n").alias("_n"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for name, at, n in zip(pdf[group], pdf["_at"], pdf["_n"], strict=True):
+                at, n, start, number = list(at), [int(x) for x in n], 0, 0
+                while start < len(n):
+                    end, total = start + 1, n[start]
+                    while end < len(n) and tokens(total + n[end]) <= limit:
+                        total, end = total + n[end], end + 1
+                    number += 1
+                    out.append((name, number, at[start], at[end - 1], total))
+                    if end == len(n):
+                        break
+                    start = end - overlap if end - start > overlap else end
+            yield pd.DataFrame(out, columns=[group, "pack", "first", "last", "n_words"])
+
+    return lists.mapInPandas(run, f"{group} {kinds[group]}, pack int, first {kinds[order]}, last {kinds[order]}, n_words long")
 
 
 def newest(df: DataFrame, group: str, item: str, day: str, n: int) -> DataFrame:

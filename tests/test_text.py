@@ -106,3 +106,13 @@ def test_captions(spark):
     pages = [("T.C. Memo. 2020-1", "T.C. Memo. 2020-1, at *10", "cites T.C. Memo. 2020-1 again Filed May 2, 2020"), ("T.C. Memo. 2020-1", "T.C. Memo. 2020-1, at *2", "T. C. Memo. 2020-1 Filed May 1, 2020.")]
     (row,) = captions(spark.createDataFrame(pages, "opinion string, citation string, text string")).collect()
     assert row["caption"].startswith("T. C.") and row["filed"] == "May 1, 2020"
+
+
+def test_packing_calls_no_function_for_each_group(spark):
+    from lexloom.operators import windows as W
+
+    rows = [(g, i, "w " * (3 + i % 4)) for g in ("a", "b") for i in range(9)] + [("c", 0, "w " * 99)]
+    out = W.packed(spark.createDataFrame(rows, "g string, at int, text string").repartition(3), "g", "at", 10, lambda n: n, 1)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, out.collect()))
+    assert got[0] == ("a", 1, 0, 1, 7) and got[-1] == ("c", 1, 0, 0, 99) and [r[1:] for r in got if r[0] == "a"] == [r[1:] for r in got if r[0] == "b"]
