@@ -175,14 +175,19 @@ def filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> str:
     """The cells of all vectors, written anew."""
+    return _cells_of(spark, vectors(spark, sf_dir))
+
+
+def _cells_of(spark: SparkSession, held: DataFrame) -> str:
     path = new_path(spark, "cells")
-    N.write_cells(vectors(spark, sf_dir), path)
+    N.write_cells(held, path)
     return path
 
 
 def cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a search, free and within one kind of source: how many searches, and whether approximate hits hold nine of ten exact ones."""
-    held, path, out = materialise(vectors(spark, sf_dir), "vectors"), cells(spark, sf_dir), None
+    held, out = materialise(vectors(spark, sf_dir), "vectors"), None
+    path = _cells_of(spark, held)
     own = held.select(F.col("key").alias("search"), "embedding")
     for name, sources in (("free", None), ("usc", ["usc"])):
         asked = own.withColumn("sources", F.array(*map(F.lit, sources)) if sources else F.lit(None).cast("array<string>"))

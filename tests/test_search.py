@@ -127,3 +127,51 @@ def test_searches_of_cells_shuffle_hits_alone(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange ") == 1
     assert found.count() == 180
+
+
+def test_packed_rows_of_a_cell_are_joined():
+    import pyarrow as pa
+
+    def row(cell, first, n):
+        keys = list(range(first, first + n))
+        held = [pa.array([cell], pa.int32()), pa.array([keys]), pa.array([np.array(keys, "<f8").repeat(2).tobytes()], pa.binary()), pa.array([["a"] * n]), pa.array([[None] * n], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(held, names=["cell", "keys", "vectors", "sources", "sections"])
+
+    rows = [row(0, 0, 3), row(1, 3, 7), row(1, 10, 7), row(1, 17, 4), row(2, 21, 2), row(2, 23, 1), row(3, 24, 10)]
+    whole = pa.Table.from_batches(rows).combine_chunks().to_batches()
+    got = list(C._packed(10)(iter([*whole[0:1]])))
+    assert [(b.column(0)[0].as_py(), len(b.column(1)[0])) for b in got] == [(0, 3), (1, 10), (1, 8), (2, 3), (3, 10)]
+    assert [k for b in got for k in b.column(1)[0].as_py()] == list(range(34))
+    assert np.concatenate([np.frombuffer(b.column(2)[0].as_py(), "<f8") for b in got]).tolist() == [float(i) for i in range(34) for _ in range(2)]
+
+
+@pytest.mark.parametrize("close", [None, 0.5])
+def test_best_scores_again_only_what_can_be_among_the_best(close):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24))
+    x[100:160], x[1500:1600] = x[7], x[7] * (1 + 1e-12)  # equal scores, within a batch and over batches
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked, seen = x[:300], []
+    best = R.Best(asked, 5, close)
+    exact = best._exact
+    best._exact = lambda which, x, row, column: seen.append(len(row)) or exact(which, x, row, column)
+    for at in range(0, 3000, 500):
+        best.meet(np.arange(300), x[at : at + 500], x[at : at + 500].astype(np.float32), pa.array(range(at, at + 500)))
+    best.settle()
+    scores = np.round(np.einsum("id,jd->ij", asked, x), 9)
+    want = [sorted(range(3000), key=lambda j: (-scores[i, j], j))[:5] for i in range(300)]
+    assert np.array(best.keys).reshape(300, 5).tolist() == want
+    assert np.allclose(best.scores.reshape(300, 5), [scores[i, w] for i, w in enumerate(want)], atol=2e-9)
+    assert sum(seen) < 300 * 3000 / 10
+    if close:
+        assert best.near.tolist() == (scores > close).sum(axis=1).tolist()
+
+
+def test_blocks_of_searches_are_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(R, "SEARCHES", 4)
+    df = spark.createDataFrame([(i, [float(i)] * (i % 3)) for i in range(23)], "search long, embedding array<double>").repartition(3)
+    blocks = list(R.opened(df.mapInArrow(R.sealed, "rows binary")))
+    assert all(b.num_rows == 4 for b in blocks[:-1]) and sum(b.num_rows for b in blocks) == 23
+    assert sorted((s, v) for b in blocks for s, v in zip(b.column("search").to_pylist(), b.column("embedding").to_pylist(), strict=True)) == [(i, [float(i)] * (i % 3)) for i in range(23)]
