@@ -619,3 +619,25 @@ def test_token_store_of_an_empty_table(spark, empty):
     path = session.new_path(spark, "tokens")
     token_store.write_store(empty.select("doc_id", "text"), queries.tokenizer("word_bpe_49k.json"), path, end=2)
     assert token_store.read_store(spark, path).count() == 0
+
+
+def test_blocks_of_queries_are_searched_abreast_and_every_task_has_a_part_of_the_first_wave(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1200)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(5, 25)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = topk.build_index(docs)
+    numbers = {}
+    for r in index.select("task", "number").collect():
+        numbers.setdefault(r["task"], []).append(r["number"])
+    assert len(numbers) == 4 and all(sorted(held) == list(range(1, len(held) + 1)) and len(held) > 4 for held in numbers.values())
+    files = index.select(F.input_file_name().alias("file")).groupBy("file").count().collect()
+    assert max(r["count"] for r in files) <= topk.FILE_SHARDS
+    labels, write = [], topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df, label, **options: labels.append(label) or write(df, label, **options))
+    asked = docs.where("doc_id % 6 = 0").withColumnRenamed("doc_id", "query_id")
+    got = topk.search(index, asked, k=3).cache()
+    blocks = -(-asked.rdd.map(lambda r: 8 * len(set(r["text"].split()))).sum() // topk.QUERY_BYTES)
+    assert blocks > topk.ABREAST and labels.count("hits") == 2 * -(-blocks // topk.ABREAST)
+    assert_same_best(best_of(got), brute_best(rows, {r for r in rows if r[0] % 6 == 0}, 3))
